@@ -75,6 +75,22 @@ def test_dense_ball_is_one_component_without_all_pairs(spark):
     assert {np.int64(k).view(np.uint64).item(): v for k, v in got.items()} == {f: want[f] for _, f in rows}
 
 
+def test_blocks_change_nothing(spark):
+    rng = np.random.default_rng(2)
+    fps = {int(x) for x in rng.integers(0, 1 << 63, 40)}
+    for f in list(fps):
+        g = f
+        for b in rng.choice(64, 4, replace=False):
+            g ^= 1 << int(b)
+        fps |= {g, g ^ 1 << 5, g ^ 1 << 63}
+    rows = [(i, f) for i, f in enumerate(sorted(fps))]
+    table = spark.createDataFrame([(int(np.uint64(f).view(np.int64)), i) for i, f in rows], "fp bigint, doc_id bigint")
+    want = {f: c for (_, f), (_, _, c) in zip(sorted(rows, key=lambda r: str((r[0], f"{r[1]:016x}"))), brute_components(rows), strict=True)}
+    for blocks in (1, 5):
+        got = {np.int64(r.fp).view(np.uint64).item(): r.component_id for r in simhash.classes(table, blocks=blocks).collect()}
+        assert got == {f: want[f] for _, f in rows}
+
+
 def test_components_of_a_long_path(spark):
     n = 300
     edges = spark.createDataFrame([(i * 7 % n, (i + 1) * 7 % n) for i in range(n - 1)], "a bigint, b bigint")

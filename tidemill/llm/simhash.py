@@ -21,6 +21,10 @@ BITS = 64
 SEED = 42
 #: Shingles whose bits are unpacked at once.
 BLOCK = 1 << 16
+#: Fingerprints before it in a bucket that each one is compared with in place.
+PEERS = 7
+#: Distinct fingerprints above which keys of a segment alone, of about 20 bits, would make large buckets.
+FINE = 1 << 24
 
 
 def fingerprint(text: bytes | None, words: int = 4) -> int:
@@ -66,41 +70,58 @@ def segments(radius: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in pairwise(bounds)]
 
 
-def variants(fps: DataFrame, radius: int) -> DataFrame:
-    """Adds `key` to rows with a fingerprint: one row for each segment and each bit of it left open."""
+def variants(fps: DataFrame, radius: int, blocks: int = 1) -> DataFrame:
+    """Adds `key` to rows with a fingerprint: one row for each segment and each bit of it left open.
+
+    With more than one block, the bits outside the segment are cut into `blocks` parts as well, of which one is equal if
+    there are more blocks than differing bits; then a key holds such a part too, in one row for each part.
+    """
     first, mask = [], []
     for start, length in segments(radius):
         first += [start] * length
         mask += [(1 << length) - 1] * length
     literal = lambda xs: "array(" + ",".join(f"{x}L" for x in xs) + ")"
     at = lambda xs: f"get({literal(xs)}, bit)"
-    opened = f"(shiftrightunsigned(fp & ~shiftleft(1L, bit), cast({at(first)} as int)) & {at(mask)})"
-    return fps.select("*", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("bit")).select(
-        *fps.columns, F.expr(f"{opened} * {BITS} + bit").alias("key")
-    )
+    opened = f"(shiftrightunsigned(fp & ~shiftleft(1L, bit), cast({at(first)} as int)) & {at(mask)}) * {BITS} + bit"
+    index = fps.select("*", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("bit"))
+    if blocks == 1:
+        return index.select(*fps.columns, F.expr(opened).alias("key"))
+    masks = []
+    for start, length in segments(radius):
+        outside = [b for b in range(BITS) if not start <= b < start + length]
+        parts = [outside[len(outside) * i // blocks : len(outside) * (i + 1) // blocks] for i in range(blocks)]
+        masks += [[sum(1 << b for b in p) - (1 << BITS if 63 in p else 0) for p in parts]] * length
+    index = index.select("*", F.posexplode(F.expr("get(array(" + ",".join(literal(m) for m in masks).replace("-9223372036854775808L", "(-9223372036854775807L - 1L)") + "), bit)")).alias("block", "part"))
+    return index.select(*fps.columns, F.xxhash64(F.expr(opened), F.col("block"), F.expr("fp & part")).alias("key"))
 
 
-def classes(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """Connected components of distinct fingerprints linked at `radius` or fewer differing bits: rows (fp, doc_id).
+def classes(fps: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFrame:
+    """Connected components of distinct fingerprints linked at `radius` or fewer differing bits: rows (fp, component_id).
 
-    fps: rows (fp, doc_id) with fp distinct; doc_id of the result is the smallest of the component. Exact: first each
-    fingerprint of a bucket is compared with the bucket's smallest and with its predecessor, which joins dense groups
-    into components with a number of rows in proportion to the index; then buckets that hold several components are
-    joined with themselves, keeping only pairs within the radius whose components differ.
+    fps: rows (fp, doc_id) with fp distinct; component_id is the smallest doc_id of the component. Exact: in the order of
+    a bucket, each fingerprint is compared with the PEERS before it and with the bucket's smallest, which settles buckets
+    of at most PEERS + 1 and joins dense groups into components, with a number of rows in proportion to the index. Larger
+    buckets that then still hold several components are joined with themselves, keeping only pairs within the radius whose
+    components differ. Above FINE fingerprints the keys are made longer by blocks, so that buckets stay small.
     """
+    if blocks is None:
+        blocks = 1 if fps.count() <= FINE else radius + 1
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
-    index = variants(fps.select("fp"), radius)
-    # Both windows share one sort; a bucket with a single fingerprint has no partner.
+    index = variants(fps.select("fp"), radius, blocks)
+    others = ["low", *(f"before{k}" for k in range(1, PEERS + 1))]
     marked = index.selectExpr(
-        "fp", "key",
-        "first(fp) over (partition by key order by fp) as low",
-        "lag(fp) over (partition by key order by fp) as before",
-        "lead(fp) over (partition by key order by fp) as after",
-    ).where("before is not null or after is not null")
-    shared = cut(marked)
-    links = shared.select("fp", F.explode(F.array_distinct(F.array("low", "before"))).alias("other")).where("fp <> other").where(near("fp", "other"))
-    named = components(links.select(F.col("fp").alias("a"), F.col("other").alias("b")))
-    buckets = shared.select("fp", "key").join(named.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("part"))
+        "fp", "key", "first(fp) over (partition by key order by fp) as low",
+        *(f"lag(fp, {k}) over (partition by key order by fp) as before{k}" for k in range(1, PEERS + 1)),
+        f"count(*) over (partition by key order by fp rows between unbounded preceding and unbounded following) > {PEERS + 1} as large",
+    )
+    linked = [(F.col("fp") != F.col(o)) & near("fp", o) for o in others]
+    some = F.coalesce(linked[0], F.lit(False))
+    for x in linked[1:]:
+        some = some | F.coalesce(x, F.lit(False))
+    kept = cut(marked.where(some | F.col("large")).select("fp", "key", "large", F.array_distinct(F.array_compact(F.array(*(F.when(x, F.col(o)) for x, o in zip(linked, others, strict=True))))).alias("links")))
+    named = components(kept.select(F.col("fp").alias("a"), F.explode("links").alias("b")))
+    shared = kept.where("large").select("fp", "key")
+    buckets = shared.join(named.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("part"))
     mixed = buckets.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
     rest = cut(buckets.join(mixed, "key", "left_semi"))
     left, right = rest.toDF("key", "fp", "part"), rest.toDF("key", "fp2", "part2")
