@@ -12,7 +12,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import chunks, components, cut
@@ -51,16 +51,16 @@ def fingerprint(text: bytes | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """Rows (doc_id, fp): one for every row of docs; fp is the fingerprint as a signed 64-bit number."""
+    """Rows (doc_id, text_key, fp): one for every row of docs; fp is the fingerprint as a signed 64-bit number."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
             fps = np.fromiter((fingerprint(t, words) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps)], ["doc_id", "text_key", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(scan, f"doc_id {kind}, fp bigint")
+    return rows.mapInArrow(scan, f"doc_id {kind}, text_key bigint, fp bigint")
 
 
 def segments(radius: int) -> list[tuple[int, int]]:
@@ -96,10 +96,10 @@ def variants(fps: DataFrame, radius: int, blocks: int = 1) -> DataFrame:
 
 
 def classes(fps: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFrame:
-    """Connected components of distinct fingerprints linked at `radius` or fewer differing bits: rows (fp, component_id).
+    """Connected components of distinct fingerprints linked at `radius` or fewer differing bits: (fp, part, component_id).
 
-    fps: rows (fp, doc_id) with fp distinct; component_id is the smallest doc_id of the component. Exact: in the order of
-    a bucket, each fingerprint is compared with the PEERS before it and with the bucket's smallest, which settles buckets
+    fps: rows (fp, doc_id) with fp distinct; part names a component by one of its fingerprints, component_id is its smallest
+    doc_id. Exact: in the order of a bucket, each fingerprint is compared with the PEERS before it and with the bucket's smallest, which settles buckets
     of at most PEERS + 1 and joins dense groups into components, with a number of rows in proportion to the index. Larger
     buckets that then still hold several components are joined with themselves, keeping only pairs within the radius whose
     components differ. Above FINE fingerprints the keys are made longer by blocks, so that buckets stay small.
@@ -130,7 +130,7 @@ def classes(fps: DataFrame, radius: int = 4, blocks: int | None = None) -> DataF
     whole = fps.join(named.withColumnRenamed("node", "fp"), "fp", "left").withColumn("part", F.coalesce("root", "fp")).drop("root")
     whole = whole.join(joined.withColumnRenamed("node", "part"), "part", "left").select("fp", "doc_id", F.coalesce("root", "part").alias("part"))
     least = whole.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    return whole.join(least, "part").select("fp", "component_id")
+    return whole.join(least, "part").select("fp", "part", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
@@ -144,3 +144,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = cut(fingerprints(docs, id_col, text_col, words))
     classed = classes(cut(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))), radius)
     return fps.join(classed, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each component one, with the smallest id (null last).
+
+    Rows that agree in id and text are one document, of which one row stays.
+    """
+    fps = cut(fingerprints(docs, id_col, text_col, words))
+    classed = classes(cut(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))), radius)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("first")
+    kept = fps.join(classed.select("fp", "part"), "fp").groupBy("part").agg(first).select(F.col("first.doc_id").alias("_kept_id"), F.col("first.text_key").alias("_kept_key")).distinct()
+    rows = docs.select(*docs.columns, F.xxhash64(text_col).alias("_text_key"))
+    joined = rows.join(kept, (F.col("_text_key") == F.col("_kept_key")) & F.col(id_col).eqNullSafe(F.col("_kept_id")))
+    one = F.row_number().over(Window.partitionBy("_kept_id", "_kept_key").orderBy(F.xxhash64(*docs.columns)))
+    return joined.withColumn("_nth", one).where("_nth = 1").select(*docs.columns)
