@@ -23,6 +23,7 @@ def local_session(app: str = "tidemill", cpus: int | None = None, **conf: str) -
     settings = SEMANTICS | {
         "spark.sql.shuffle.partitions": str(cpus),
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.driver.host": "127.0.0.1",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
