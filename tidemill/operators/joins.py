@@ -94,9 +94,16 @@ def temporal(probe: DataFrame, build: DataFrame, probe_key: str, build_key: str,
 
 
 def window_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], how: str = "inner", residual: Column | None = None) -> DataFrame:
-    """Rows of both sides in one window; both carry window_start and window_end."""
-    bounds = [("window_start", "window_start"), ("window_end", "window_end")]
-    return regular(left, right, [*bounds, *keys], how, residual=residual)
+    """Rows of both sides in one window; both carry window_start and window_end, the result once."""
+    bounds = {"window_start": "_start", "window_end": "_end"}
+    other = right.withColumnsRenamed(bounds)
+    on = [left[a] == other[b] for a, b in [*bounds.items(), *keys]] + ([residual] if residual is not None else [])
+    out = left.join(other, reduce(lambda x, y: x & y, on), how)
+    if "semi" in how or "anti" in how:
+        return out
+    if how in ("right", "full", "outer"):
+        out = out.withColumns({a: F.coalesce(a, b) for a, b in bounds.items()})
+    return out.drop(*bounds.values())
 
 
 def exists(left: DataFrame, right: DataFrame, condition: Column, negated: bool = False) -> DataFrame:

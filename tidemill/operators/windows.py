@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BOUNDS = ("window_start", "window_end", "window_time")
+#: Microseconds of the units of an interval literal.
+UNITS = {"DAY": 86_400_000_000, "HOUR": 3_600_000_000, "MINUTE": 60_000_000, "SECOND": 1_000_000}
 
 
 def _micros(interval: str) -> Column:
-    """The length of a day-time interval in microseconds."""
-    return F.expr(f"cast(extract(SECOND FROM (INTERVAL {interval})) * 1000000 as bigint) + extract(MINUTE FROM (INTERVAL {interval})) * 60000000L + extract(HOUR FROM (INTERVAL {interval})) * 3600000000L + extract(DAY FROM (INTERVAL {interval})) * 86400000000L")
+    """The length of an interval literal such as "'10' MINUTE", in microseconds."""
+    number, unit = re.fullmatch(r"'(-?[0-9.]+)' (DAY|HOUR|MINUTE|SECOND)S?", interval).groups()
+    return F.lit(round(float(number) * UNITS[unit])).cast("bigint")
 
 
 def _as_micros(ts: Column) -> Column:
