@@ -150,7 +150,8 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     is_best = F.col("n").isNotNull() & (F.col("points") == F.col("top")) & F.col("doc_id").eqNullSafe(F.col("best"))
     likely = cut(likely.withColumn("is_best", F.coalesce(is_best, F.lit(False))))
     # Of the best rows of a digest (several only where a row repeats, or bytes differ) one gives the bytes to compare with.
-    bytes_of = likely.where("is_best").groupBy("digest").agg(F.min("plain").alias("best_plain"))
+    # Written first, so that the join below deals both sides itself and can split a digest with very many rows.
+    bytes_of = cut(likely.where("is_best").groupBy("digest").agg(F.min("plain").alias("best_plain")))
     compared = likely.join(bytes_of, "digest", "left").withColumn("same", F.col("n").isNull() | F.col("plain").eqNullSafe(F.col("best_plain"))).drop("best_plain")
     compared = cut(compared.withColumn("plain", F.when(~F.col("same"), F.col("plain"))))
     odd = compared.where("not same")

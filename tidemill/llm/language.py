@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,21 +146,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learns from at most `per_language` labelled rows of each of the `languages` most frequent languages.
 
     The rows with the smallest hashed ids are taken, of those that are not held out, have a language and a text of 1 to
-    `longest` characters; no other row can influence the model.
+    `longest` characters; other rows only count towards their language's number.
     """
     labelled = docs.where(~held_out(id_col)).where(F.col(lang_col).isNotNull() & F.length(text_col).between(1, parameters.longest))
-    drawn = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit(4)).alias("draw"))
-    names = [r.lang for r in drawn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(parameters.languages).collect()]
-    if not names:
+    labelled = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit(4)).alias("draw"), F.col(text_col).alias("text"))
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(parameters.languages).collect()
+    if not counts:
         return train([], [], parameters)
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    limits = drawn.where(F.col("lang").isin(names)).withColumn("nth", nth).where(F.col("nth") <= parameters.per_language).groupBy("lang").agg(F.max("draw").alias("most")).collect()
-    chosen = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit(4)).alias("draw"), F.col(text_col).alias("text"))
+    # A hash below the share of rows wanted, and half as many more, so that no task sorts a language.
     within = F.lit(False)
-    for r in limits:
-        within = within | ((F.col("lang") == r.lang) & (F.col("draw") <= r.most))
-    rows = chosen.where(within).orderBy("draw", "lang", "text").limit(parameters.per_language * len(names)).collect()
-    return train([r.text for r in rows], [r.lang for r in rows], parameters)
+    for r in counts:
+        share = min(1.0, 1.5 * (parameters.per_language + 20) / r["count"])
+        within = within | ((F.col("lang") == r.lang) & (F.col("draw") <= -(1 << 63) + int(share * ((1 << 64) - 1))))
+    rows = labelled.where(within).orderBy("draw", "lang", "text").limit(3 * parameters.per_language * len(counts)).collect()
+    chosen = [r for lang in counts for r in [x for x in rows if x.lang == lang.lang][: parameters.per_language]]
+    chosen.sort(key=lambda r: (r.draw, r.lang, r.text))
+    return train([r.text for r in chosen], [r.lang for r in chosen], parameters)
 
 
 def predicted(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -8,14 +8,18 @@ that occur again are extended to the whole window and counted; all other windows
 from __future__ import annotations
 
 import hashlib
+import pickle
+import struct
 from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemill.llm.common import chunks
 
@@ -24,7 +28,7 @@ WINDOW = 35
 PERIOD = 21
 COVER = (0, 1, 4, 14, 16)
 #: Hashes that a task gathers before it merges equal ones and passes them on.
-BLOCK = 1 << 19
+BLOCK = 1 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,22 +84,51 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
 Found = Callable[[Words, np.ndarray | None], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _occurrences(batches: Iterable[pa.RecordBatch], find: Found, block: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text_key, route, sub, place, n) of what `find` hashes in each text.
+def _planes(x: np.ndarray) -> bytes:
+    """An array's bytes, first all lowest ones, then the next: small numbers then pack well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
-    Equal hashes of a block are merged first: one row goes to the hash's route and stands for two occurrences; the
-    others, known to repeat already, go to routes of their own, so that a hash has one row from each block at most.
+
+def _unplaned(raw: bytes, at: int, n: int, kind: str) -> tuple[np.ndarray, int]:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel(), at + n * width
+
+
+def _packed(keys: list[tuple], rows: np.ndarray, places: np.ndarray, routes: np.ndarray, subs: np.ndarray, times: np.ndarray) -> bytes:
+    """Occurrences of several texts as one compressed piece; keys are (doc_id, text_key) of the texts, rows point to them."""
+    used, local = np.unique(rows, return_inverse=True)
+    names = pickle.dumps(tuple(zip(*(keys[k] for k in used.tolist()), strict=True)), protocol=5)
+    body = b"".join((struct.pack("<II", len(rows), len(names)), names, _planes(local.astype("<u4")), _planes(places.astype("<u4")), _planes(routes.astype("<u8")), _planes(subs.astype("<u2")), _planes(times.astype("u1"))))
+    return zstandard.compress(body, 1)
+
+
+def _unpacked(blob: bytes) -> tuple[tuple, tuple[np.ndarray, ...]]:
+    raw = zstandard.decompress(blob)
+    n, size = struct.unpack_from("<II", raw)
+    keys, at, columns = pickle.loads(raw[8 : 8 + size]), 8 + size, []
+    for kind in ("<u4", "<u4", "<u8", "<u2", "u1"):
+        column, at = _unplaned(raw, at, n, kind)
+        columns.append(column)
+    return keys, tuple(columns)
+
+
+def _occurrences(batches: Iterable[pa.RecordBatch], find: Found, block: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows (part, blob) of what `find` hashes in each text, dealt to parts by the hash.
+
+    Equal hashes of a block are merged first: one occurrence stays on the hash's route and stands for two; the others,
+    known to repeat already, get routes of their own, so that a hash has one occurrence from each block at most.
     """
-    held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    held: list[tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         if not size:
             return
         places, hashes, subs = (np.concatenate([h[k] for h in held]) for k in (2, 3, 4))
-        base = np.cumsum([0, *(h[0].num_rows for h in held)])
+        base = np.cumsum([0, *(len(h[0]) for h in held)])
         rows = np.concatenate([h[1] + b for h, b in zip(held, base, strict=False)])
-        table = pa.Table.from_batches([h[0] for h in held])
+        keys = [k for h in held for k in h[0]]
         order = np.lexsort((subs, hashes))
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(hashes[order]) != 0) | (np.diff(subs[order]) != 0)
@@ -103,18 +136,22 @@ def _occurrences(batches: Iterable[pa.RecordBatch], find: Found, block: int) ->
         nth = np.empty(len(order), np.uint64)
         nth[order] = np.arange(len(order)) - first
         times = np.diff(np.append(np.flatnonzero(new), len(order)))
-        n = np.empty(len(order), np.int8)
+        n = np.empty(len(order), np.uint8)
         n[order] = np.minimum(np.repeat(times, times), 2)
-        route = hashes + nth * ODD
-        pick = table.take(pa.array(rows))
-        yield from pa.table(
-            [pick.column("doc_id"), pick.column("text_key"), pa.array(route.view(np.int64)), pa.array(subs), pa.array(places, pa.int32()), pa.array(n)],
-            ["doc_id", "text_key", "route", "sub", "place", "n"],
-        ).to_batches(max_chunksize=1 << 16)
+        routes = hashes + nth * ODD
+        part = (routes >> np.uint64(20)) % np.uint64(parts)
+        by = np.argsort(part, kind="stable")
+        ends = np.flatnonzero(np.append(np.diff(part[by]) != 0, True)) + 1
+        numbers, blobs = [], []
+        for a, b in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), strict=True):
+            pick = by[a:b]
+            numbers.append(int(part[pick[0]]))
+            blobs.append(_packed(keys, rows[pick], places[pick], routes[pick], subs[pick], n[pick]))
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     for part, texts in chunks(batches):
         lists = part.column(part.schema.get_field_index("found")) if "found" in part.schema.names else None
-        keys = part.select(["doc_id", "text_key"])
+        keys = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
         got = []
         for k, text in enumerate(texts):
             places, hashes, subs = find(Words(text), np.asarray(lists[k].values) if lists is not None else None)
@@ -130,10 +167,32 @@ def _occurrences(batches: Iterable[pa.RecordBatch], find: Found, block: int) ->
 
 def _repeated(rows: DataFrame, find: Found, block: int) -> DataFrame:
     """Rows (doc_id, text_key, found): the places of each text whose hash occurs at least twice anywhere."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    seen = rows.mapInArrow(lambda batches: _occurrences(batches, find, block), f"doc_id {kind}, text_key bigint, route bigint, sub int, place int, n tinyint")
-    times = seen.selectExpr("doc_id", "text_key", "place", "sum(n) over (partition by route, sub) as times")
-    return times.where("times > 1").groupBy("doc_id", "text_key").agg(F.collect_list("place").alias("found"))
+    kind = rows.schema["doc_id"].dataType
+    parts = 4 * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def merge(table: pa.Table) -> pa.Table:
+        keys, columns, base = [], [], 0
+        for blob in table.column("blob").to_pylist():
+            names, (local, *rest) = _unpacked(blob)
+            keys += zip(*names, strict=True)
+            columns.append((local + base, *rest))
+            base = len(keys)
+        text, place, route, sub, n = (np.concatenate([c[k] for c in columns]) for k in range(5))
+        order = np.lexsort((sub, route))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(route[order]) != 0) | (np.diff(sub[order]) != 0)
+        starts = np.flatnonzero(new)
+        often = np.repeat(np.add.reduceat(n[order].astype(np.int64), starts) > 1, np.diff(np.append(starts, len(order))))
+        hit = order[often]
+        hit = hit[np.argsort(text[hit], kind="stable")]
+        ends = np.flatnonzero(np.append(np.diff(text[hit]) != 0, True)) + 1 if len(hit) else np.zeros(0, np.int64)
+        found = [keys[text[hit[e - 1]]] for e in ends.tolist()]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(place[hit].astype(np.int32)))
+        return pa.table([pa.array([k[0] for k in found], to_arrow_type(kind)), pa.array([k[1] for k in found], pa.int64()), lists], ["doc_id", "text_key", "found"])
+
+    seen = rows.mapInArrow(lambda batches: _occurrences(batches, find, block, parts), "part int, blob binary")
+    lists = seen.groupBy("part").applyInArrow(merge, f"doc_id {kind.simpleString()}, text_key bigint, found array<int>")
+    return lists.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("found")).alias("found"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER, block: int = BLOCK, keep_text: bool = False) -> DataFrame:
@@ -147,17 +206,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not is_cover(cover, period) or period > window:
         raise ValueError("cover must be a difference cover of a period within the window")
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    # Where every id is there once, an id alone tells the rows apart, and the key of the text stays empty.
+    unique = docs.groupBy(id_col).count().where("count > 1").isEmpty()
+    text_key = F.lit(0).cast("bigint") if unique else F.xxhash64(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_key.alias("text_key"), F.col(text_col).alias("text"))
 
     def find_anchors(words: Words, _: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at, hashes = anchors(words, window, period, cover)
-        return at, hashes, np.zeros(len(at), np.int32)
+        return at, hashes, np.zeros(len(at), np.uint16)
 
     def find_windows(words: Words, found: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = candidates(words, found, window, period)
         digest = xxhash.xxh3_128_digest
         raw = np.frombuffer(b"".join(digest(s) for s in words.spans(at, window)), np.uint8).reshape(-1, 16)
-        return at, raw[:, :8].copy().view(np.uint64).ravel(), raw[:, 8:12].copy().view(np.int32).ravel()
+        return at, raw[:, :8].copy().view(np.uint64).ravel(), raw[:, 8:10].copy().view(np.uint16).ravel()
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
