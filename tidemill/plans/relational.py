@@ -90,7 +90,7 @@ def calc_temporal(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@register("calc_collections", """SELECT l_orderkey, l_linenumber, a[2] AS a, len(a) AS b, list_contains(a, 3) AS c, list_reverse(a) AS d, list_append(a, 9) AS e, list_prepend(9, a) AS f, list_concat(a, [1]) AS g, coalesce(list_position(a, 5), 0) AS h,
+@register("calc_collections", """SELECT l_orderkey, l_linenumber, a[2] AS a, len(a) AS b, list_contains(a, 3) AS c, list_reverse(a) AS d, list_append(a, 9) AS e, list_prepend(9, a) AS f, list_concat(a, [1]) AS g, CAST(coalesce(list_position(a, 5), 0) AS BIGINT) AS h,
   list_filter(a, lambda x: x IS DISTINCT FROM 5) AS i, list_min(a) AS j, list_max(a) AS k, array_to_string(a, '-') AS l, list_sort(a) AS m, a[2:3] AS n, len(list_distinct(a)) AS o FROM (SELECT *, [l_partkey % 10, l_suppkey % 10, CAST(l_linenumber AS BIGINT), 5] AS a FROM lineitem)""")
 def calc_collections(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.expr("l_partkey % 10"), F.expr("l_suppkey % 10"), F.col("l_linenumber").cast("bigint"), F.lit(5).cast("bigint")).alias("v"))
