@@ -23,7 +23,7 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
     selects tells whether the window is the first to select its line at that position.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.transform(F.split(F.col(text_col), "\n", -1), F.xxhash64).alias("h"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.xxhash64(x)).alias("h"))
     rows = rows.where(F.size("h") >= window)
     part = lambda i: F.slice(F.col("h"), i + 1, window)
     places = F.transform(F.sequence(F.lit(0), F.size("h") - window), lambda i: (i + F.array_position(part(i), F.array_min(part(i))) - 1).cast("int"))

@@ -6,34 +6,46 @@ set of a text's signatures is its fingerprint; sets are compared by Jaccard like
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import cut
 
 #: Common words of English, German, French and Spanish.
-ANCHORS = (
-    "the of and to in is that was for on are as with be at by this from or an it he she not have which "
-    "der die und den von zu das mit sich des auf ist im dem nicht ein eine als auch es aus bei nach für über "
-    "le la les et du une que est pour qui dans par plus pas au sur il elle ou ce "
-    "el los las del un y se por con no su para al lo como más o pero"
-).split()
+ANCHORS = "the of and to is was der die und das zu mit la le les des et que el los del y".split()
 #: Content words of a chain; common words passed over before each of them.
 CHAIN, PASSED = 2, 24
-_COMMON = "(?:" + "|".join(sorted(set(ANCHORS), key=lambda w: (-len(w), w))) + ") "
-_SIGNATURE = f"(?<= )(?=({_COMMON}(?:(?:{_COMMON}){{0,{PASSED}}}+[^ ]+ ){{{CHAIN}}}))"
+#: Marks a common word.
+MARK = "\x01"
+_COMMON = f"(?<= )(?={'|'.join(f'{w} ' for w in ANCHORS)})"
+_MARKED = f"{MARK}[^ ]+ "
+_SIGNATURE = f"(?={MARK}([^ ]+ (?:(?:{_MARKED}){{0,{PASSED}}}+[^ {MARK}][^ ]* ){{{CHAIN}}}))"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def signatures(text: Column) -> Column:
     """The set of a text's signatures, as a sorted array of 32-bit hashes.
 
-    Words are runs of letters and digits in lower case. A text without any signature has its words as a whole as the only
-    one, so that equal texts have equal sets and other texts, but for hash collisions, other ones.
+    Words are runs of letters and digits in lower case. A chain passes over at most PASSED common words at a time;
+    behind more there is none. A text
+    without any signature has its words as a whole as the only one, so that equal texts have equal sets and other texts,
+    but for hash collisions, other ones.
     """
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    chains = F.transform(F.regexp_extract_all(words, F.lit(_SIGNATURE), F.lit(1)), lambda s: F.hash(F.regexp_replace(s, f"(?<= ){_COMMON}", "")))
-    some = F.array_sort(F.array_distinct(chains))
-    return F.when(F.size(some) > 0, some).otherwise(F.array(F.hash(words)))
+
+    def of_words(w: Column) -> Column:
+        marked = F.regexp_replace(w, _COMMON, MARK)
+        chains = F.regexp_extract_all(marked, F.lit(_SIGNATURE), F.lit(1))
+        hashes = F.transform(chains, lambda c: F.hash(F.when(F.contains(c, F.lit(MARK)), F.regexp_replace(c, _MARKED, "")).otherwise(c)))
+        return _let(F.sort_array(F.array_distinct(hashes)), lambda some: F.when(F.size(some) > 0, some).otherwise(F.array(F.hash(w))))
+
+    return _let(words, of_words)
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -78,15 +90,16 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint's signatures to the edited text's and to the next document's. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = rows.select("doc_id", _key("doc_id").alias("key"), "text")
+    # Both uses below need the same columns, so that the texts and their signatures are dealt once.
+    keyed = rows.select("doc_id", _key("doc_id").alias("key"), "text", signatures(F.col("text")).alias("sigs"))
     chain = _chain(rows)
-    one = F.row_number().over(Window.partitionBy("key").orderBy("text"))
-    donors = keyed.select("key", "text").join(chain, "key").select("*", one.alias("nth")).where("nth = 1")
-    donors = donors.select(F.col("to").alias("key"), F.left("text", F.col("need")).alias("donor"), signatures(F.col("text")).alias("next_sigs"))
-    own = keyed.join(donors, "key").select("doc_id", "text", "next_sigs", F.length("text").alias("n"), "donor")
+    one = F.row_number().over(Window.partitionBy("key").orderBy("text", "doc_id"))
+    donors = keyed.join(chain, "key").select("*", one.alias("nth")).where("nth = 1")
+    donors = donors.select(F.col("to").alias("key"), F.left("text", F.col("need")).alias("donor"), F.col("sigs").alias("next_sigs"))
+    own = keyed.join(donors, "key").select("doc_id", "text", "sigs", "next_sigs", F.length("text").alias("n"), "donor")
     kept = F.col("n") - F.floor(F.col("n") / 3).cast("int")
     edited = F.concat(F.left("text", kept), F.left("donor", F.col("n") - kept))
-    texts = own.select("doc_id", F.col("n").cast("bigint").alias("n_chars"), "text", edited.alias("edited"), "next_sigs")
-    sets = texts.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("text")).alias("a"), signatures(F.col("edited")).alias("b"), "next_sigs")
+    texts = own.select("doc_id", F.col("n").cast("bigint").alias("n_chars"), edited.alias("edited"), "sigs", "next_sigs")
+    sets = texts.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("sigs").alias("a"), signatures(F.col("edited")).alias("b"), "next_sigs")
     a, b, c = F.col("a"), F.col("b"), F.col("next_sigs")
     return sets.select("doc_id", "n_chars", "edited_sha256", fingerprint(a).alias("fingerprint"), fingerprint(b).alias("edited_fingerprint"), likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"))
