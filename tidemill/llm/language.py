@@ -156,8 +156,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     # A hash below the share of rows wanted, and half as many more, so that no task sorts a language.
     within = F.lit(False)
     for r in counts:
-        share = min(1.0, 1.5 * (parameters.per_language + 20) / r["count"])
-        within = within | ((F.col("lang") == r.lang) & (F.col("draw") <= -(1 << 63) + int(share * ((1 << 64) - 1))))
+        most = min((1 << 64) - 1, 3 * (parameters.per_language + 20) * (1 << 63) // r["count"])
+        within = within | ((F.col("lang") == r.lang) & (F.col("draw") <= most - (1 << 63)))
     rows = labelled.where(within).orderBy("draw", "lang", "text").limit(3 * parameters.per_language * len(counts)).collect()
     chosen = [r for lang in counts for r in [x for x in rows if x.lang == lang.lang][: parameters.per_language]]
     chosen.sort(key=lambda r: (r.draw, r.lang, r.text))
