@@ -66,6 +66,18 @@ def test_other_windows(spark):
         substring.remove_repeats(docs, window=9, period=7, cover=(0, 1))
 
 
+def test_homes_agree():
+    ids = [5, -7, 2**40]
+    objects = substring._column([*ids, None, "x"])
+    assert substring._homes(substring._column(ids), 1000).tolist() == substring._homes(objects, 1000).tolist()[:3]
+
+
+def test_text_ids(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([("a", text), ("b", text + " more"), (None, "short"), ("b", "x")], "doc_id string, text string")
+    assert run(docs) == brute([tuple(r) for r in docs.collect()])
+
+
 def test_empty(spark):
     assert run(spark.createDataFrame([], "doc_id bigint, text string")) == []
 

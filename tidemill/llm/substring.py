@@ -95,22 +95,57 @@ def _unplaned(raw: bytes, at: int, n: int, kind: str) -> tuple[np.ndarray, int]:
     return np.ascontiguousarray(planes.T).view(kind).ravel(), at + n * width
 
 
-def _packed(keys: list[tuple], rows: np.ndarray, places: np.ndarray, routes: np.ndarray, subs: np.ndarray, times: np.ndarray) -> bytes:
-    """Occurrences of several texts as one compressed piece; keys are (doc_id, text_key) of the texts, rows point to them."""
-    used, local = np.unique(rows, return_inverse=True)
-    names = pickle.dumps(tuple(zip(*(keys[k] for k in used.tolist()), strict=True)), protocol=5)
-    body = b"".join((struct.pack("<II", len(rows), len(names)), names, _planes(local.astype("<u4")), _planes(places.astype("<u4")), _planes(routes.astype("<u8")), _planes(subs.astype("<u2")), _planes(times.astype("u1"))))
-    return zstandard.compress(body, 1)
+def _column(values: list) -> np.ndarray:
+    """Ids as an array: of 64-bit numbers if they all are, else of objects."""
+    if all(type(v) is int for v in values):
+        return np.array(values, np.int64)
+    out = np.empty(len(values), object)
+    out[:] = values
+    return out
 
 
-def _unpacked(blob: bytes) -> tuple[tuple, tuple[np.ndarray, ...]]:
-    raw = zstandard.decompress(blob)
-    n, size = struct.unpack_from("<II", raw)
-    keys, at, columns = pickle.loads(raw[8 : 8 + size]), 8 + size, []
-    for kind in ("<u4", "<u4", "<u8", "<u2", "u1"):
-        column, at = _unplaned(raw, at, n, kind)
-        columns.append(column)
-    return keys, tuple(columns)
+def _packed(ids: np.ndarray, text_keys: np.ndarray, rows: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Occurrences in several texts as one compressed piece; rows point to the texts' ids and keys."""
+    used, local = np.unique(rows, return_inverse=True)
+    columns = (local.astype("<u4"), *columns)
+    names = pickle.dumps((ids[used], text_keys[used], [c.dtype.str for c in columns]), protocol=5)
+    return zstandard.compress(b"".join((struct.pack("<II", len(rows), len(names)), names, *map(_planes, columns))), 1)
+
+
+def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(ids, text_keys, columns) of several pieces together."""
+    ids, text_keys, columns, base = [], [], [], 0
+    for blob in blobs:
+        raw = zstandard.decompress(blob)
+        n, size = struct.unpack_from("<II", raw)
+        (some, keys, kinds), at, found = pickle.loads(raw[8 : 8 + size]), 8 + size, []
+        for kind in kinds:
+            column, at = _unplaned(raw, at, n, kind)
+            found.append(column)
+        found[0] = found[0].astype(np.int64) + base
+        base += len(some)
+        ids.append(some)
+        text_keys.append(keys)
+        columns.append(found)
+    return np.concatenate(ids), np.concatenate(text_keys), [np.concatenate([c[k] for c in columns]) for k in range(len(columns[0]))]
+
+
+def _split(numbers: np.ndarray, pack: Callable[[np.ndarray], bytes]) -> tuple[list[int], list[bytes]]:
+    """(number, piece) for each different number, of the positions where it stands."""
+    by = np.argsort(numbers, kind="stable")
+    ends = np.flatnonzero(np.append(np.diff(numbers[by]) != 0, True)) + 1 if len(by) else np.zeros(0, np.int64)
+    picks = [by[a:b] for a, b in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), strict=True)] if len(by) else []
+    return [int(numbers[x[0]]) for x in picks], [pack(x) for x in picks]
+
+
+def _homes(ids: np.ndarray, parts: int) -> np.ndarray:
+    """A part for each id; a number's is the same among numbers and among objects."""
+    if ids.dtype == np.int64:
+        mixed = ids.astype(np.uint64) * ODD
+    else:
+        factor = int(ODD)
+        mixed = np.fromiter((x * factor % (1 << 64) if type(x) is int else xxhash.xxh3_64_intdigest(repr(x).encode()) for x in ids), np.uint64, len(ids))
+    return ((mixed >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
 
 
 def _occurrences(batches: Iterable[pa.RecordBatch], find: Found, block: int, parts: int) -> Iterator[pa.RecordBatch]:
@@ -119,16 +154,15 @@ def _occurrences(batches: Iterable[pa.RecordBatch], find: Found, block: int, par
     Equal hashes of a block are merged first: one occurrence stays on the hash's route and stands for two; the others,
     known to repeat already, get routes of their own, so that a hash has one occurrence from each block at most.
     """
-    held: list[tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         if not size:
             return
-        places, hashes, subs = (np.concatenate([h[k] for h in held]) for k in (2, 3, 4))
+        ids, text_keys, places, hashes, subs = (np.concatenate([h[k] for h in held]) for k in (0, 1, 3, 4, 5))
         base = np.cumsum([0, *(len(h[0]) for h in held)])
-        rows = np.concatenate([h[1] + b for h, b in zip(held, base, strict=False)])
-        keys = [k for h in held for k in h[0]]
+        rows = np.concatenate([h[2] + b for h, b in zip(held, base, strict=False)])
         order = np.lexsort((subs, hashes))
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(hashes[order]) != 0) | (np.diff(subs[order]) != 0)
@@ -139,25 +173,20 @@ def _occurrences(batches: Iterable[pa.RecordBatch], find: Found, block: int, par
         n = np.empty(len(order), np.uint8)
         n[order] = np.minimum(np.repeat(times, times), 2)
         routes = hashes + nth * ODD
-        part = (routes >> np.uint64(20)) % np.uint64(parts)
-        by = np.argsort(part, kind="stable")
-        ends = np.flatnonzero(np.append(np.diff(part[by]) != 0, True)) + 1
-        numbers, blobs = [], []
-        for a, b in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), strict=True):
-            pick = by[a:b]
-            numbers.append(int(part[pick[0]]))
-            blobs.append(_packed(keys, rows[pick], places[pick], routes[pick], subs[pick], n[pick]))
+        part = ((routes >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+        columns = (places.astype("<u4"), routes, subs, n)
+        numbers, blobs = _split(part, lambda pick: _packed(ids, text_keys, rows[pick], *(c[pick] for c in columns)))
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     for part, texts in chunks(batches):
         lists = part.column(part.schema.get_field_index("found")) if "found" in part.schema.names else None
-        keys = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
+        names = _column(part.column(0).to_pylist()), part.column(1).to_numpy(zero_copy_only=False)
         got = []
         for k, text in enumerate(texts):
             places, hashes, subs = find(Words(text), np.asarray(lists[k].values) if lists is not None else None)
             got.append((np.full(len(places), k), places, hashes, subs))
-        held.append((keys, *(np.concatenate([g[k] for g in got]) for k in range(4))))
-        size += len(held[-1][1])
+        held.append((*names, *(np.concatenate([g[k] for g in got]) for k in range(4))))
+        size += len(held[-1][2])
         if size >= block:
             yield from flush()
             held.clear()
@@ -171,28 +200,31 @@ def _repeated(rows: DataFrame, find: Found, block: int) -> DataFrame:
     parts = 4 * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def merge(table: pa.Table) -> pa.Table:
-        keys, columns, base = [], [], 0
-        for blob in table.column("blob").to_pylist():
-            names, (local, *rest) = _unpacked(blob)
-            keys += zip(*names, strict=True)
-            columns.append((local + base, *rest))
-            base = len(keys)
-        text, place, route, sub, n = (np.concatenate([c[k] for c in columns]) for k in range(5))
+        """The occurrences whose hash repeats, packed anew and dealt by text."""
+        ids, text_keys, (text, place, route, sub, n) = _unpacked(table.column("blob").to_pylist())
         order = np.lexsort((sub, route))
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(route[order]) != 0) | (np.diff(sub[order]) != 0)
         starts = np.flatnonzero(new)
         often = np.repeat(np.add.reduceat(n[order].astype(np.int64), starts) > 1, np.diff(np.append(starts, len(order))))
-        hit = order[often]
-        hit = hit[np.argsort(text[hit], kind="stable")]
-        ends = np.flatnonzero(np.append(np.diff(text[hit]) != 0, True)) + 1 if len(hit) else np.zeros(0, np.int64)
-        found = [keys[text[hit[e - 1]]] for e in ends.tolist()]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(place[hit].astype(np.int32)))
-        return pa.table([pa.array([k[0] for k in found], to_arrow_type(kind)), pa.array([k[1] for k in found], pa.int64()), lists], ["doc_id", "text_key", "found"])
+        hit = np.sort(order[often])
+        numbers, blobs = _split(_homes(ids, parts)[text[hit]], lambda pick: _packed(ids, text_keys, text[hit[pick]], place[hit[pick]]))
+        return pa.table([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], ["home", "blob"])
+
+    def gather(table: pa.Table) -> pa.Table:
+        """A text's places together."""
+        ids, text_keys, (text, place) = _unpacked(table.column("blob").to_pylist())
+        code = np.unique(ids, return_inverse=True)[1] if ids.dtype == np.int64 else np.array([codes.setdefault(x, len(codes)) for codes in [{}] for x in ids])
+        order = np.lexsort((place, text_keys[text], code[text]))
+        last = np.append((np.diff(code[text[order]]) != 0) | (np.diff(text_keys[text[order]]) != 0), True)
+        ends = np.flatnonzero(last) + 1
+        one = text[order[ends - 1]]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(place[order].astype(np.int32)))
+        return pa.table([pa.array(ids[one].tolist(), to_arrow_type(kind)), pa.array(text_keys[one], pa.int64()), lists], ["doc_id", "text_key", "found"])
 
     seen = rows.mapInArrow(lambda batches: _occurrences(batches, find, block, parts), "part int, blob binary")
-    lists = seen.groupBy("part").applyInArrow(merge, f"doc_id {kind.simpleString()}, text_key bigint, found array<int>")
-    return lists.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("found")).alias("found"))
+    hits = seen.groupBy("part").applyInArrow(merge, "home int, blob binary")
+    return hits.groupBy("home").applyInArrow(gather, f"doc_id {kind.simpleString()}, text_key bigint, found array<int>")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER, block: int = BLOCK, keep_text: bool = False) -> DataFrame:
