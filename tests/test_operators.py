@@ -164,6 +164,26 @@ def test_match_skips_past_the_last_row(spark):
     assert sorted((r.a, r.c) for r in match.match_recognize(*args, skip="to next row").collect()) == [(i, i + 2) for i in range(1, 6)]
 
 
+def test_match_takes_starts_in_order(spark):
+    import random
+
+    r = random.Random(8)
+    rows = [(k, i, r.choice([0, 1, 1, 1, 1])) for k in range(6) for i in range(r.randint(0, 60))]
+    df = spark.createDataFrame(rows, "k int, seq int, v int")
+    want = []
+    for k in range(6):
+        mine, at = [(i, v) for j, i, v in rows if j == k], 0
+        while at + 3 <= len(mine):
+            if mine[at][1] == 1 and mine[at + 2][1] == 1:
+                want.append((k, mine[at][0], mine[at + 2][0]))
+                at += 3
+            else:
+                at += 1
+    one = lambda c: c("v") == 1
+    got = match.match_recognize(df, ["k"], ["seq"], list("ABC"), {"A": one, "C": one}, {"a": ("A", "seq"), "c": ("C", "seq")})
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_expansion(spark):
     df = spark.createDataFrame([(1, [1, None]), (2, []), (3, None)], "k int, a array<int>")
     assert sorted(((r.k, r.v, r.i) for r in sets.unnest(df, F.col("a"), "v", "i").collect()), key=str) == [(1, 1, 1), (1, None, 2)]

@@ -13,7 +13,7 @@ def match_recognize(df: DataFrame, keys: list[str], order: list[str], pattern: l
 
     define maps a variable to its condition, a function of the variable's row (called with a column name); measures maps a
     name to (variable, column). With skip "to next row" every start may match: leads and a filter. With "past last row"
-    matches don't share rows: from the sorted starts of a key each one at or behind the end of the last is taken.
+    matches don't share rows: in order, each start at or behind the end of the last match is taken.
     """
     w, n = Window.partitionBy(*keys).orderBy(*order), len(pattern)
     used = sorted({c for _, c in measures.values()} | {c for v in pattern for c in _columns_of(define.get(v), df)})
@@ -26,8 +26,16 @@ def match_recognize(df: DataFrame, keys: list[str], order: list[str], pattern: l
     out = [F.col(f"_{v}.{c}").alias(name) for name, (v, c) in measures.items()]
     if skip == "to next row":
         return hits.select(*keys, *out)
-    item = F.struct("_nth", *out)
-    lists = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_hits"))
+    by = Window.partitionBy(*keys).orderBy("_nth")
+    starts = hits.select(*keys, "_nth", *out).withColumn("_gap", F.col("_nth") - F.lag("_nth").over(by))
+    # A start at least n rows behind the one before begins a segment: no match before it can reach it.
+    starts = starts.withColumn("_segment", F.sum(F.when(F.col("_gap") < n, 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy(*keys, "_segment")
+    inner = F.max(F.when(F.col("_gap") < n, F.col("_gap"))).over(whole)
+    starts = starts.withColumns({"_dense": F.coalesce(inner, F.lit(1)) == 1, "_first": F.min("_nth").over(whole)})
+    # Where every row of a segment is a start, each n-th one is taken; only other segments are folded one by one.
+    dense = starts.where("_dense").where((F.col("_nth") - F.col("_first")) % n == 0).select(*keys, *measures)
+    lists = starts.where("not _dense").groupBy(*keys, "_segment").agg(F.array_sort(F.collect_list(F.struct("_nth", *measures))).alias("_hits"))
     kind = lists.schema["_hits"].dataType.simpleString()
     picked = F.aggregate(
         "_hits",
@@ -35,7 +43,7 @@ def match_recognize(df: DataFrame, keys: list[str], order: list[str], pattern: l
         lambda acc, x: F.when(x["_nth"] >= acc["next"], F.struct((x["_nth"] + n).alias("next"), F.array_append(acc["out"], x).alias("out"))).otherwise(acc),
         lambda acc: acc["out"],
     )
-    return lists.select(*keys, F.inline(picked)).drop("_nth")
+    return dense.unionByName(lists.select(*keys, F.inline(picked)).drop("_nth"))
 
 
 def _columns_of(condition: Callable | None, df: DataFrame) -> set[str]:
