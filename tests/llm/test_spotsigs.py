@@ -80,3 +80,39 @@ def test_repeated_and_null_ids(spark):
 def test_whole_table(spark, sf_dir):
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     check(rows, spotsigs.edited_likeness(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect())
+
+
+def brute_classes(rows, threshold=0.8):
+    sets = {d: brute_signatures(t or "") for d, t in rows}
+    parent = {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if jaccard(sets[a], sets[b]) >= threshold - 1e-9:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {d: root(d) for d in ids}
+
+
+def test_near_duplicates(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("bcdfgh") for _ in range(4))
+    rows, n = [], 0
+    for _ in range(12):
+        base = " ".join(x for _ in range(r.randint(2, 40)) for x in ("the", word(), word()))
+        for k in range(r.randint(1, 9)):
+            parts = base.split()
+            for _ in range(k % 4):
+                parts[r.randrange(len(parts))] = word()
+            rows.append((n, " ".join(parts)))
+            n += 1
+    rows += [(n, None), (n + 1, ""), (n + 2, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {x.doc_id: x.component_id for x in spotsigs.near_duplicates(docs).collect()} == brute_classes(rows)
+    assert spotsigs.near_duplicates(docs.limit(0)).count() == 0

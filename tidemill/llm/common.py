@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -76,3 +76,25 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = state
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def linked(buckets: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components of nodes that share a bucket and are near: rows (node, root), for nodes with a link.
+
+    buckets: rows (key, node); near keeps the near pairs of rows (a, b). In each bucket a node is first compared with the
+    smallest and with the one before it, which is linear and joins dense groups; then only buckets that still hold several
+    components are joined with themselves, and only nodes of different components meet. No link is lost.
+    """
+    order = "over (partition by key order by node)"
+    held = cut(buckets.selectExpr("key", "node", f"first(node) {order} as low", f"lag(node) {order} as before", f"lead(node) {order} as after").where("before is not null or after is not null"))
+    first = held.select("node", F.explode(F.array_distinct(F.array_compact(F.array("low", "before")))).alias("other")).where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    named = components(near(first))
+    parts = held.select("key", "node").join(named, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
+    mixed = parts.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
+    rest = cut(parts.join(mixed, "key", "left_semi"))
+    pairs = rest.toDF("key", "a", "part_a").join(rest.toDF("key", "b", "part_b"), "key").where("part_a < part_b").select("a", "b", "part_a", "part_b").distinct()
+    more = near(pairs).select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
+    joined = components(more)
+    roots = named.select(F.col("root").alias("node")).unionByName(joined.select("node")).unionByName(joined.select(F.col("root").alias("node"))).distinct()
+    whole = named.unionByName(roots.join(named.select("node"), "node", "left_anti").select("node", F.col("node").alias("root")))
+    return whole.join(joined.toDF("root", "_top"), "root", "left").select("node", F.coalesce("_top", "root").alias("root"))

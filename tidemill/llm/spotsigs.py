@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import cut
+from tidemill.llm.common import cut, linked
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = "the of and to is was der die und das zu mit la le les des et que el los del y".split()
@@ -103,3 +103,32 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = texts.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("sigs").alias("a"), signatures(F.col("edited")).alias("b"), "next_sigs")
     a, b, c = F.col("a"), F.col("b"), F.col("next_sigs")
     return sets.select("doc_id", "n_chars", "edited_sha256", fingerprint(a).alias("fingerprint"), fingerprint(b).alias("edited_fingerprint"), likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """One row for every row of docs: doc_id, fingerprint, component_id, the smallest doc_id (null last) that links lead to.
+
+    Texts are linked where their sets' Jaccard likeness reaches the threshold. Equal sets are one. Sets are partitioned by
+    length, so that only those of one or of neighbouring partitions can be alike enough; in a partition, sets meet at the
+    rarest of their signatures, as many as any like set must share one of; pairs whose lengths alone rule them out are
+    pruned, the others counted. An empty table gives an empty result.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), signatures(F.col(text_col)).alias("sigs"))
+    rows = cut(rows.select("doc_id", "sigs", fingerprint(F.col("sigs")).alias("fingerprint")))
+    sets = cut(rows.groupBy("fingerprint").agg(F.first("sigs").alias("sigs"))).withColumn("n", F.size("sigs"))
+    each = sets.select("fingerprint", "n", F.explode("sigs").alias("sig"))
+    ranked = each.join(each.groupBy("sig").agg(F.count("*").alias("often")), "sig").groupBy("fingerprint", "n").agg(F.sort_array(F.collect_list(F.struct("often", "sig"))).alias("by"))
+    prefix = F.slice(F.col("by.sig"), 1, (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
+    part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9)
+    met = ranked.select(F.col("fingerprint").alias("node"), part.alias("part"), F.explode(prefix).alias("sig"))
+    buckets = met.select("node", F.explode(F.array(F.xxhash64("sig", "part"), F.xxhash64("sig", F.col("part") + 1))).alias("key"))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        a, b = sets.toDF("a", "sigs_a", "n_a"), sets.toDF("b", "sigs_b", "n_b")
+        alike = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9
+        found = pairs.join(a, "a").join(b, "b").where(alike).where(likeness(F.col("sigs_a"), F.col("sigs_b")) >= threshold - 1e-9)
+        return found.select(*pairs.columns)
+
+    roots = linked(buckets, near).withColumnRenamed("node", "fingerprint")
+    named = rows.select("doc_id", "fingerprint").join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    return named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "fingerprint", "component_id")
