@@ -31,7 +31,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: A unigram model's unknown character costs so much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Words longer than this are merged with a heap instead of a matrix; distinct words that a worker remembers.
-LONG, REMEMBERED = 64, 1 << 18
+LONG, REMEMBERED = 64, 1 << 19
+FIRST_SHIFT = np.uint64(43)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 RATIO = np.uint64(0xD6E8FEB86659FD93)
 
@@ -82,6 +83,7 @@ class Model:
     unknown: int
     keys: np.ndarray = field(init=False)
     ids: np.ndarray = field(init=False)
+    first: np.ndarray = field(init=False)
     longest: int = field(init=False)
 
     def __post_init__(self) -> None:
@@ -99,6 +101,8 @@ class Model:
         self.keys, self.ids = keys[order], np.array(usable, np.int32)[order]
         if (np.diff(self.keys) == 0).any():
             raise ValueError("two pieces have one hash")
+        self.first = np.zeros(1 << 21, bool)
+        self.first[(self.keys >> FIRST_SHIFT).astype(np.int64)] = True
 
     @staticmethod
     def parse(raw: bytes) -> Model:
@@ -124,9 +128,13 @@ class Model:
         return Model(pieces, np.array(scores), kinds, kind, prefix, byte_ids, kinds.index(UNKNOWN))
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
-        """The piece of each substring hash, or -1."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.ids[at], -1)
+        """The piece of each substring hash, or -1; most hashes of no piece fail at a table of the keys' first bits."""
+        out = np.full(hashes.shape, -1, np.int32)
+        some = np.nonzero(self.first[(hashes >> FIRST_SHIFT).astype(np.int64)])
+        likely = hashes[some]
+        at = np.minimum(np.searchsorted(self.keys, likely), len(self.keys) - 1)
+        out[some] = np.where(self.keys[at] == likely, self.ids[at], -1)
+        return out
 
 
 def substrings(model: Model, codes: np.ndarray) -> np.ndarray:
@@ -168,10 +176,12 @@ def viterbi(model: Model, codes: np.ndarray) -> list[list[tuple[int, int]]]:
     return out
 
 
-def merges(model: Model, codes: np.ndarray) -> list[list[tuple[int, int]]]:
-    """(start, end) of each word's pieces after merging, again and again, the neighbours whose piece has the best score.
+def merges(model: Model, codes: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """(pieces in all words, where each starts, pieces of each word) after merging, again and again, the neighbours whose
+    piece has the best score.
 
-    Of equal scores the leftmost goes first. All words make one merge in a step; finished words drop out.
+    Of equal scores the leftmost goes first. All words make one merge in a step; finished words drop out. A character that
+    is no piece has -1.
     """
     count, n = codes.shape
     table = substrings(model, codes)
@@ -209,11 +219,10 @@ def merges(model: Model, codes: np.ndarray) -> list[list[tuple[int, int]]]:
         left = befores[rows, at]
         some = left >= 0
         renew(rows[some], left[some])
-    out = []
-    for live, end in zip(alive, ends, strict=True):
-        starts = np.flatnonzero(live)
-        out.append(list(zip(starts.tolist(), end[starts].tolist(), strict=True)))
-    return out
+    which, starts = np.nonzero(alive)
+    sizes = ends[which, starts] - starts
+    pieces = table[which, starts, sizes - 1]
+    return pieces.tolist(), starts.tolist(), alive.sum(axis=1).tolist()
 
 
 def merges_of_long(model: Model, word: str, ids: dict[str, int]) -> list[tuple[int, int]]:
@@ -274,13 +283,20 @@ class Codec:
                 for w in some:
                     self.memory[w] = self._ids(w, merges_of_long(self.model, w, self.ids))
                 continue
-            segment = viterbi if self.model.kind == UNIGRAM else merges
             step = max(1, (1 << 18) // (n * min(n, self.model.longest)))
             for i in range(0, len(some), step):
                 part = some[i : i + step]
                 codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(part), n)
-                for w, spans in zip(part, segment(self.model, codes), strict=True):
-                    self.memory[w] = self._ids(w, spans)
+                if self.model.kind == UNIGRAM:
+                    for w, spans in zip(part, viterbi(self.model, codes), strict=True):
+                        self.memory[w] = self._ids(w, spans)
+                    continue
+                pieces, starts, counts = merges(self.model, codes)
+                at = 0
+                for w, count in zip(part, counts, strict=True):
+                    ids = pieces[at : at + count]
+                    self.memory[w] = tuple(ids) if min(ids) >= 0 else self._ids(w, [(a, a + 1 if k < 0 else a + len(self.model.pieces[k])) for k, a in zip(ids, starts[at : at + count], strict=True)])
+                    at += count
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The piece ids of each text."""
