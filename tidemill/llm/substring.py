@@ -198,6 +198,8 @@ def _repeated(rows: DataFrame, find: Found, block: int) -> DataFrame:
     """Rows (doc_id, text_key, found): the places of each text whose hash occurs at least twice anywhere."""
     kind = rows.schema["doc_id"].dataType
     parts = 4 * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Texts are dealt to fewer parts than hashes, as each part of hashes sends a piece to each part of texts.
+    homes = max(1, parts // 8)
 
     def merge(table: pa.Table) -> pa.Table:
         """The occurrences whose hash repeats, packed anew and dealt by text."""
@@ -208,7 +210,7 @@ def _repeated(rows: DataFrame, find: Found, block: int) -> DataFrame:
         starts = np.flatnonzero(new)
         often = np.repeat(np.add.reduceat(n[order].astype(np.int64), starts) > 1, np.diff(np.append(starts, len(order))))
         hit = np.sort(order[often])
-        numbers, blobs = _split(_homes(ids, parts)[text[hit]], lambda pick: _packed(ids, text_keys, text[hit[pick]], place[hit[pick]]))
+        numbers, blobs = _split(_homes(ids, homes)[text[hit]], lambda pick: _packed(ids, text_keys, text[hit[pick]], place[hit[pick]]))
         return pa.table([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], ["home", "blob"])
 
     def gather(table: pa.Table) -> pa.Table:
