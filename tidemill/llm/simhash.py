@@ -27,23 +27,26 @@ PEERS = 7
 FINE = 1 << 24
 
 
-def fingerprint(text: bytes | None, words: int = 4) -> int:
-    """The SimHash of a text: a bit is 1 if set in over half the hashes of its word shingles, repeats included.
+def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
+    """The hashes of a text's word shingles, repeats included.
 
     A-Z is lower-cased and words are separated by ASCII white space. Fewer words than a shingle has: the whole sequence
-    is the one shingle. No word at all, or null: 0.
+    is the one shingle. No word at all, or null: none.
     """
     tokens = text.lower().split() if text else ()
-    if not tokens:
-        return 0
+    digest = xxhash.xxh64_intdigest
     flat = b" ".join(tokens)
     if len(tokens) <= words:
-        return xxhash.xxh64_intdigest(flat, SEED)
+        return np.array([digest(flat, SEED)] if tokens else [], dtype="<u8")
     gaps = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
     starts = [0, *(gaps + 1).tolist()]
     ends = [*gaps.tolist(), len(flat)][words - 1 :]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(flat[a:b], SEED) for a, b in zip(starts, ends, strict=False)], dtype="<u8")
+    return np.array([digest(flat[a:b], SEED) for a, b in zip(starts, ends, strict=False)], dtype="<u8")
+
+
+def fingerprint(text: bytes | None, words: int = 4) -> int:
+    """The SimHash of a text: a bit is 1 if set in over half the hashes of its word shingles, repeats included; 0 if none."""
+    hashes = shingle_hashes(text, words)
     votes = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), BLOCK):
         votes += np.unpackbits(hashes[i : i + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
