@@ -137,6 +137,16 @@ def score(model: Model, presence: Presence, texts: list[str]) -> list[tuple[str,
     return out
 
 
+def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text is not null and holds a letter."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in chunks(batches, text_col):
+            yield part.filter(pa.array([has_letter((t or b"").decode("utf-8", "replace")) for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
 def held_out(id_col: str | Column) -> Column:
     """Whether a row is never learned from: crc32 of the id as text, modulo 4, is 2; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(4)) == 2
