@@ -6,7 +6,8 @@ set of a text's signatures is its fingerprint; sets are compared by Jaccard like
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,14 +15,34 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import cut, linked
 
 #: Common words of English, German, French and Spanish.
-ANCHORS = "the of and to is was der die und das zu mit la le les des et que el los del y".split()
-#: Content words of a chain; common words passed over before each of them.
-CHAIN, PASSED = 2, 24
+ANCHORS = (
+    "the of and to in is that was for on are as with be at by this from or an it he she not have which "
+    "der die und den von zu das mit sich des auf ist im dem nicht ein eine als auch es aus bei nach für über "
+    "le la les et du une que est pour qui dans par plus pas au sur il elle ou ce "
+    "el los las del un y se por con no su para al lo como más o pero"
+).split()
+#: Content words of a chain; common words passed over before each of them, however many.
+CHAIN, PASSED = 2, sys.maxsize
 #: Marks a common word.
 MARK = "\x01"
-_COMMON = f"(?<= )(?={'|'.join(f'{w} ' for w in ANCHORS)})"
+
+
+def _any_of(words: Iterable[str]) -> str:
+    """A pattern of the words, of which none begins another, that looks at each of their characters once."""
+    rest: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            rest.setdefault(w[0], []).append(w[1:])
+    parts = [c + _any_of(dict.fromkeys(tails)) for c, tails in rest.items()]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})" if parts else ""
+
+
+_COMMON = f"(?<= )(?={_any_of(f'{w} ' for w in ANCHORS)})"
 _MARKED = f"{MARK}[^ ]+ "
-_SIGNATURE = f"(?={MARK}([^ ]+ (?:(?:{_MARKED}){{0,{PASSED}}}+[^ {MARK}][^ ]* ){{{CHAIN}}}))"
+#: A run of common words and the chain behind it, if there is one; each run is read once as such and once in a chain.
+_RUN = f"(?=((?:{_MARKED})++(?:[^ {MARK}][^ ]* (?:(?:{_MARKED})*+[^ {MARK}][^ ]* ){{{CHAIN - 1}}})?))(?:{_MARKED})++"
+_ONE = f"^{MARK}[^{MARK}]+$"
+
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -32,8 +53,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def signatures(text: Column) -> Column:
     """The set of a text's signatures, as a sorted array of 32-bit hashes.
 
-    Words are runs of letters and digits in lower case. A chain passes over at most PASSED common words at a time;
-    behind more there is none. A text
+    Words are runs of letters and digits in lower case. A chain passes over any number of common words. A text
     without any signature has its words as a whole as the only one, so that equal texts have equal sets and other texts,
     but for hash collisions, other ones.
     """
@@ -41,8 +61,11 @@ def signatures(text: Column) -> Column:
 
     def of_words(w: Column) -> Column:
         marked = F.regexp_replace(w, _COMMON, MARK)
-        chains = F.regexp_extract_all(marked, F.lit(_SIGNATURE), F.lit(1))
-        hashes = F.transform(chains, lambda c: F.hash(F.when(F.contains(c, F.lit(MARK)), F.regexp_replace(c, _MARKED, "")).otherwise(c)))
+        runs = F.regexp_extract_all(marked, F.lit(_RUN), F.lit(1))
+        each = lambda c: F.array_distinct(F.split(F.regexp_extract(c, f"^((?:{_MARKED})++)", 1), MARK))
+        many = lambda c: _let(F.regexp_replace(c, _MARKED, ""), lambda chain: F.transform(F.filter(each(c), lambda x: (x != "") & (chain != "")), lambda x: F.hash(F.concat(x, chain))))
+        one = lambda c: F.filter(F.array(F.hash(F.substring(c, 2, 2147483647))), lambda _: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) > CHAIN)
+        hashes = F.flatten(F.transform(runs, lambda c: F.when(c.rlike(_ONE), one(c)).otherwise(many(c))))
         return _let(F.sort_array(F.array_distinct(hashes)), lambda some: F.when(F.size(some) > 0, some).otherwise(F.array(F.hash(w))))
 
     return _let(words, of_words)
