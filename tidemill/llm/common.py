@@ -21,14 +21,38 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+
+    Where that is unset a local folder serves a local master; on a cluster it would be lost with its machine, so this raises.
+    """
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tidemill-")
+
+
+def fresh(columns: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, each with underscores in front until no column has it (case aside)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes the rows to the cluster's shared checkpoint folder and reads them from there.
 
-    The folder is the session's spark.checkpoint.dir; where that is unset (a single machine, tests) a local one is made.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemill-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -78,14 +102,15 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def linked(buckets: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(buckets: DataFrame, near: Callable[[DataFrame], DataFrame], by: str = "node") -> DataFrame:
     """Components of nodes that share a bucket and are near: rows (node, root), for nodes with a link.
 
-    buckets: rows (key, node); near keeps the near pairs of rows (a, b). In each bucket a node is first compared with the
-    smallest and with the one before it, which is linear and joins dense groups; then only buckets that still hold several
-    components are joined with themselves, and only nodes of different components meet. No link is lost.
+    buckets: rows (key, node, ...); near keeps the near pairs of rows (a, b). In each bucket a node is first compared with
+    the first one in the order `by` and with the one before it, which is linear and joins dense groups if what comes first
+    is near many; then only buckets that still hold several components are joined with themselves, and only nodes of
+    different components meet. No link is lost.
     """
-    order = "over (partition by key order by node)"
+    order = f"over (partition by key order by {by}, node)"
     held = cut(buckets.selectExpr("key", "node", f"first(node) {order} as low", f"lag(node) {order} as before", f"lead(node) {order} as after").where("before is not null or after is not null"))
     first = held.select("node", F.explode(F.array_distinct(F.array_compact(F.array("low", "before")))).alias("other")).where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     named = components(near(first))
