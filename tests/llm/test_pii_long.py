@@ -10,7 +10,7 @@ def test_long_domains_and_tokens(spark):
     texts = [f"mail {domain} end", "x@a" + ".b" * 1001, f'token = "{token}="', "k" * 513, "k" * 15]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     secret = dict(pii.GENERATORS)["secret"]
-    rows = docs.select("doc_id", pii.found(F.col("text"), pii.EMAIL).alias("email"), pii.found(F.col("text"), secret).alias("secret")).orderBy("doc_id").collect()
+    rows = docs.select("doc_id", pii.found("text", pii.EMAIL).alias("email"), pii.found("text", secret).alias("secret")).orderBy("doc_id").collect()
     for r in rows:
         assert [(x.s, x.e) for x in r.email] == [(s, e) for s, _, e, kind in brute(texts[r.doc_id]) if kind == "email"]
     assert [(x.s, x.e) for x in rows[2].secret] == [(9, 9 + len(token) + 1)]

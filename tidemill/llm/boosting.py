@@ -25,8 +25,13 @@ class Boosted:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.scale * self.margin(x) + self.shift)))
 
+    def sql(self, features: str) -> str:
+        """The calibrated probability, in SQL over an array of the features."""
+        total = " + ".join([_number(self.start), *(_sql(t, features) for t in self.trees)])
+        return f"1.0D / (1.0D + exp(-(({total}) * {_number(self.scale)} + {_number(self.shift)})))"
+
     def column(self, feature: dict[int, Column]) -> Column:
-        """The calibrated probability, from the features' columns."""
+        """The same from the features' columns."""
         total = F.lit(self.start)
         for t in self.trees:
             total = total + _column(t, feature)
@@ -47,6 +52,17 @@ def _column(tree: Tree, feature: dict[int, Column]) -> Column:
     return F.when(feature[f] <= float(t), _column(low, feature)).otherwise(_column(high, feature))
 
 
+def _number(x: float) -> str:
+    return f"({float(x)!r}D)"
+
+
+def _sql(tree: Tree, features: str) -> str:
+    if not isinstance(tree, tuple):
+        return _number(tree)
+    f, t, low, high = tree
+    return f"(CASE WHEN {features}[{f}] <= {_number(t)} THEN {_sql(low, features)} ELSE {_sql(high, features)} END)"
+
+
 def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float) -> Tree:
     leaf = float(rate * g.sum() / (h.sum() + 1.0))
     if depth == 0 or len(g) < 10:

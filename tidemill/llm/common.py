@@ -56,6 +56,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Elements of an array whose running sums are taken one by one; longer arrays are cut into blocks of so many.
+RUN = 64
+
+
+def running_sums(values: str) -> str:
+    """For each element of an array of integers that isn't empty, the sum of all before it, in SQL.
+
+    Sums of blocks are taken first and each block then starts from those before it, so that an array of n takes about
+    n * RUN / 2 + (n / RUN)^2 / 2 steps and no array is copied for each element.
+    """
+    total = lambda some: f"aggregate({some}, 0, (a, y) -> a + y)"
+    blocks = f"transform(sequence(0, CAST(floor((size({values}) - 1) / {RUN}) AS INT)), b -> slice({values}, b * {RUN} + 1, {RUN}))"
+    each = f"transform(array({total('slice(totals, 1, j)')}), start -> transform(b, (y, i) -> start + {total('slice(b, 1, i)')}))[0]"
+    return f"transform(array({blocks}), blocks -> transform(array(transform(blocks, b -> {total('b')})), totals -> flatten(transform(blocks, (b, j) -> {each})))[0])[0]"
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

@@ -7,7 +7,7 @@ format and its context; a kind's calibrated threshold selects redactions. Base s
 from __future__ import annotations
 
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.boosting import Boosted, boost, threshold
+from tidemill.llm.common import running_sums
 
 #: The base patterns. A match starts where a run of its characters starts (or a match has just ended), so
 #: that a long run is read once; the rest is as in the plain pattern.
@@ -40,20 +41,19 @@ FEATURES = 18
 PRECISION = 0.95
 
 
-def found(text: Column, pattern: str) -> Column:
-    """The leftmost non-overlapping matches of a text, with code-point offsets (end exclusive) and context."""
-    parts = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), parts.alias("p"), F.slice(parts, 2, 2147483647).alias("q"))
+def _text(value: str) -> str:
+    """A SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        item = F.struct(start.alias("s"), end.alias("e"), x["m"].alias("v"), F.right(x["p"], F.lit(CONTEXT)).alias("before"), F.left(x["q"], F.lit(4)).alias("after"))
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.array_append(acc["out"], item).cast(FOUND).alias("out")))
 
-    empty = F.array().cast(FOUND)
-    walked = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+def found(text: str, pattern: str) -> Column:
+    """The leftmost non-overlapping matches of a text column, with code-point offsets (end exclusive) and context."""
+    p, one = _text(pattern), "get(x.p, i)"
+    before = running_sums("length")
+    item = f"named_struct('s', get(before, i) + length({one}), 'e', get(before, i) + length({one}) + length(m), 'v', m, 'before', right({one}, {CONTEXT}), 'after', left(get(x.p, i + 1), 4))"
+    lengths = f"transform(array(transform(x.m, (m, i) -> length({one}) + length(m))), length -> transform(array({before}), before -> transform(x.m, (m, i) -> {item}))[0])[0]"
+    walked = f"transform(array(named_struct('m', regexp_extract_all({text}, {p}, 0), 'p', split({text}, {p}, -1))), x -> {lengths})[0]"
+    return F.expr(f"CASE WHEN rlike({text}, {p}) THEN CAST({walked} AS {FOUND}) ELSE CAST(array() AS {FOUND}) END")
 
 
 def digits(v: Column) -> Column:
@@ -70,28 +70,29 @@ def valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
-def features(c: Column, kind: int) -> list[Column]:
-    """The format and context of a candidate, as doubles."""
-    v, before, lower = c["v"], c["before"], F.lower(c["before"])
-    n, d = F.length(v), F.length(digits(v))
-    letters = F.length(F.regexp_replace(v, "[^A-Za-z]", ""))
-    words = lambda pattern: lower.rlike(pattern)
+def features(c: str, kind: int) -> str:
+    """The format and context of a candidate, as an array of doubles, in SQL."""
+    v, before, lower = f"{c}.v", f"{c}.before", f"lower({c}.before)"
+    n, d = f"length({v})", f"length(regexp_replace({v}, '[^0-9]', ''))"
+    letters = f"length(regexp_replace({v}, '[^A-Za-z]', ''))"
+    like = lambda x, pattern: f"rlike({x}, {_text(pattern)})"
     out = [
-        F.lit(kind), n, d, letters, n - d - letters, F.size(F.array_distinct(F.split(v, ""))), F.call_function("luhn_check", digits(v)),
-        v.rlike("^[0-9A-Fa-f]+$"), v.rlike("[0-9][A-Za-z]|[A-Za-z][0-9]"), F.length(F.regexp_replace(v, "[^A-Z]", "")), before.rlike("""["']$"""), before.rlike("""[=:]\\s*["']?$"""),
-        words("token|secret|key|passw|auth|credential"), words("card|visa|payment|karte|carte|tarjeta|account|konto|iban|ssn|passport"), words("phone|tel|call|fax|mobile|cell"),
-        words("mail|contact|write|reach"), words("order|item|version|isbn|page|id\\b|build|commit|sha|hash"), c["after"].rlike("""^["']"""),
+        f"{kind}", n, d, letters, f"{n} - {d} - {letters}", f"size(array_distinct(split({v}, '')))", f"luhn_check(regexp_replace({v}, '[^0-9]', ''))",
+        like(v, "^[0-9A-Fa-f]+$"), like(v, "[0-9][A-Za-z]|[A-Za-z][0-9]"), f"length(regexp_replace({v}, '[^A-Z]', ''))", like(before, """["']$"""), like(before, """[=:]\\s*["']?$"""),
+        like(lower, "token|secret|key|passw|auth|credential"), like(lower, "card|visa|payment|karte|carte|tarjeta|account|konto|iban|ssn|passport"), like(lower, "phone|tel|call|fax|mobile|cell"),
+        like(lower, "mail|contact|write|reach"), like(lower, "order|item|version|isbn|page|id\\b|build|commit|sha|hash"), like(f"{c}.after", """^["']"""),
     ]
-    return [F.coalesce(x.cast("double"), F.lit(0.0)) for x in out]
+    return "array(" + ", ".join(f"coalesce(CAST({x} AS DOUBLE), 0.0D)" for x in out) + ")"
 
 
-def proposals(text: Column) -> dict[str, Column]:
-    """The candidates of each generator with their features as an array."""
+def matches(rows: DataFrame, patterns: Iterable[tuple[str, str]], *kept: str) -> DataFrame:
+    """The columns of rows that are kept, and one of found() for each pattern of their text."""
+    return rows.select(*kept, *(found("text", p).alias(name) for name, p in patterns))
 
-    def described(k: int) -> Callable[[Column], Column]:
-        return lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), F.array(*features(c, k)).alias("f"))
 
-    return {name: F.transform(found(text, pattern), described(k)) for k, (name, pattern) in enumerate(GENERATORS)}
+def proposals() -> dict[str, Column]:
+    """The candidates of each generator, found in columns of their names, with their features."""
+    return {name: F.expr(f"transform({name}, c -> named_struct('s', c.s, 'e', c.e, 'f', {features('c', k)}))") for k, (name, _) in enumerate(GENERATORS)}
 
 
 @dataclass(frozen=True)
@@ -134,8 +135,8 @@ def examples(n: int, seed: int) -> list[tuple[str, int, int, int]]:
 def train(spark: SparkSession, n: int = 2600, seed: int = 7) -> Model:
     """Learns from n generated examples, a bound that does not depend on any table."""
     table = spark.createDataFrame(examples(n, seed), "text string, a int, b int, label int").coalesce(1)
-    each = F.explode(F.concat(*proposals(F.col("text")).values()))
-    rows = table.select(each.alias("c"), "a", "b", "label").where("c.s < b and a < c.e").select("c.f", "label").collect()
+    each = F.explode(F.concat(*proposals().values()))
+    rows = matches(table, GENERATORS, "a", "b", "label").select(each.alias("c"), "a", "b", "label").where("c.s < b and a < c.e").select("c.f", "label").collect()
     x, y = np.array([r.f for r in rows]), np.array([float(r.label) for r in rows])
     trees = boost(x, y)
     held = np.arange(len(y)) % 3 == 2
@@ -151,7 +152,8 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     base: matches of the base patterns that pass their test; a kind's matches never overlap, those of two kinds may. extra:
     candidates that reach their kind's threshold and overlap neither a base span nor a likelier candidate (ties: the
-    generator named first, then the earlier start). A null text counts as empty.
+    generator named first). The steps are in proportion to a text's matches, but for the orders and the running totals
+    (see common.running). A null text counts as empty.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
@@ -165,14 +167,48 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def likely(name: str) -> Callable[[Column], Column]:
         return lambda c: c["p"] >= model.thresholds[name]
 
-    base = [F.transform(F.filter(found(F.col("text"), p), passes(name)), span(k, lambda _: F.lit(1.0))).cast(SPAN) for k, (name, p) in enumerate(BASE)]
-    judged = lambda c: model.trees.column({i: c["f"][i] for i in range(FEATURES)})
-    scored = [F.filter(F.transform(c, span(len(BASE) + k, judged)), likely(name)).cast(SPAN) for k, (name, c) in enumerate(proposals(F.col("text")).items())]
-    overlap = lambda a, b: (a["s"] < b["e"]) & (b["s"] < a["e"])
-    ahead = lambda b, a: (b["p"] > a["p"]) | ((b["p"] == a["p"]) & ((b["k"] < a["k"]) | ((b["k"] == a["k"]) & (b["s"] < a["s"]))))
-    out = rows.select("doc_id", F.array_sort(F.concat(*base)).alias("base"), F.concat(*scored).alias("likely"))
-    out = out.select("doc_id", "base", F.filter("likely", lambda a: ~F.exists("base", lambda b: overlap(a, b))).alias("likely"))
-    return out.select("doc_id", "base", F.array_sort(F.filter("likely", lambda a: ~F.exists("likely", lambda b: overlap(a, b) & ahead(b, a)))).alias("extra"))
+    base = [F.transform(F.filter(name, passes(name)), span(k, lambda _: F.lit(1.0))).cast(SPAN) for k, (name, _) in enumerate(BASE)]
+    scored = {}
+    for k, (name, candidates) in enumerate(proposals().items()):
+        judged = F.expr(f"transform({name}_f, c -> named_struct('s', c.s, 'k', {len(BASE) + k}, 'e', c.e, 'p', {model.trees.sql('c.f')}))")
+        scored[name] = (candidates.alias(f"{name}_f"), F.filter(judged, likely(name)).cast(SPAN).alias(name))
+    out = matches(rows, (*BASE, *GENERATORS), "doc_id").select("doc_id", F.sort_array(F.concat(*base)).alias("base"), *(c for c, _ in scored.values())).select("doc_id", "base", *(c for _, c in scored.values()))
+    out = out.select("doc_id", "base", *(F.expr(f"CASE WHEN size({k}) > 0 AND size(base) > 0 THEN {free(k, 'base')} ELSE {k} END").alias(k) for k in scored))
+    # Each step compares every kind with all candidates of one other, whether or not those go themselves.
+    names = list(scored)
+    out = out.select("*", *(F.col(k).alias(f"{k}_kept") for k in names))
+    for turn in range(1, len(names)):
+        others = [names[(i + turn) % len(names)] for i in range(len(names))]
+        out = out.select("doc_id", "base", *names, *(F.expr(f"CASE WHEN size({k}_kept) > 0 AND size({other}) > 0 THEN {unlikelier(f'{k}_kept', other)} ELSE {k}_kept END").alias(f"{k}_kept") for k, other in zip(names, others, strict=True)))
+    return out.select("doc_id", "base", F.sort_array(F.concat(*(f"{k}_kept" for k in names))).alias("extra"))
+
+
+def below(points: str, marks: str) -> str:
+    """For each number of a rising array, how many of the marks are smaller: its place among both less that among its own."""
+    events = f"sort_array(concat(transform({points}, p -> named_struct('at', p, 'mark', 0)), transform({marks}, m -> named_struct('at', m, 'mark', 1))))"
+    return f"transform(filter(transform({events}, (x, j) -> named_struct('mark', x.mark, 'j', j)), x -> x.mark = 0), (x, i) -> x.j - i)"
+
+
+def _bounded(candidates: str, spans: str) -> str:
+    """Rows (c, low, high): a candidate, how many spans end at or before its start and how many start before its end."""
+    low = below(f"transform({candidates}, c -> c.s + 1)", f"transform({spans}, x -> x.e)")
+    high = below(f"transform({candidates}, c -> c.e)", f"transform({spans}, x -> x.s)")
+    return f"zip_with({candidates}, zip_with({low}, {high}, (l, h) -> named_struct('low', l, 'high', h)), (c, b) -> named_struct('c', c, 'low', b.low, 'high', b.high))"
+
+
+def free(candidates: str, spans: str) -> str:
+    """The candidates of a kind that no span overlaps: as many end before them as start before their end."""
+    return f"transform(filter({_bounded(candidates, spans)}, x -> x.low = x.high), x -> x.c)"
+
+
+def unlikelier(candidates: str, others: str) -> str:
+    """The candidates of a kind less those that overlap a likelier one of another kind (ties: the smaller k).
+
+    Candidates of one kind never overlap, so those that overlap a given one stand together in the order of starts, and two
+    kinds have fewer overlapping pairs than candidates.
+    """
+    ahead = "b.p > x.c.p OR (b.p = x.c.p AND b.k < x.c.k)"
+    return f"transform(filter({_bounded(candidates, others)}, x -> NOT exists(slice({others}, x.low + 1, x.high - x.low), b -> {ahead})), x -> x.c)"
 
 
 def described(found_spans: Column) -> Column:
@@ -185,8 +221,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row for every row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Offsets count code points, ends are exclusive, spans are sorted by start, then by kind in the order email, ip, card,
-    phone and the generators'. A null text counts as empty; a text without spans has the digest of the empty text. Domains
-    and secrets are read whole, however long. An empty table gives an empty result.
+    phone and the generators'. A null text counts as empty; a text without spans has the digest of the empty text. Texts of
+    any length are read whole, as are domains and secrets. Repeated rows each stay, and other columns of docs, whatever
+    their names, are not looked at. An empty table gives an empty result.
     """
     model = model or train(docs.sparkSession)
     rows = spans(docs, model, id_col, text_col)
@@ -195,4 +232,4 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return lambda c: c["k"] == k
 
     counts = [F.size(F.filter("base", of_kind(k))).cast("bigint").alias(f"n_{name}") for k, (name, _) in enumerate(BASE)]
-    return rows.select("doc_id", *counts, F.sha2(described(F.col("base")), 256).alias("base_sha256"), described(F.array_sort(F.concat("base", "extra"))).alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(described(F.col("base")), 256).alias("base_sha256"), described(F.sort_array(F.concat("base", "extra"))).alias("spans"))
