@@ -7,27 +7,75 @@ from pyspark.sql import functions as F
 from tidemill.llm import language
 
 
-def brute_ngrams(text, symbols):
-    s = [int(symbols[ord(c)]) for c in text.lower()]
+def brute_ngrams(text):
+    s = [ord(c) if c.isalpha() else 0 for c in text.lower()]
     s = [c for i, c in enumerate(s) if c or i == 0 or s[i - 1]]
     return sorted({(len(g), g) for n in (1, 2, 3) for g in (tuple(s[i : i + n]) for i in range(len(s) - n + 1))})
 
 
 def test_ngrams_against_brute_force():
     texts = ["The cat -- sat!", "é中🙂 x", "a", "", "  ", "AbAbAb"]
-    symbols = language.alphabet(texts)
     for t in texts:
-        assert len(np.unique(language.ngrams(t, symbols))) == len(brute_ngrams(t, symbols))
+        assert len(np.unique(language.ngrams(t))) == len(brute_ngrams(t))
 
 
-def test_kernel_is_presence_over_geometric_mean():
-    texts, langs = ["der hund und die katze", "the dog and the cat"], ["de", "en"]
-    model = language.train(texts, langs)
-    presence = language.Presence(model.symbols, model.vocabulary)
-    k = language.kernel(*presence.rows(["the dog and the mouse"]), model.landmarks)[0]
-    grams = [set(brute_ngrams(t, model.symbols)) for t in (*texts, "the dog and the mouse")]
-    want = [len(grams[2] & g) / np.sqrt(len(grams[2]) * len(g)) for g in grams[:2]]
-    assert np.allclose(k, want, atol=1e-5)
+def brute_kernel(a, b):
+    """Of two lists of n-gram sets."""
+    return np.array([[len(x & y) / np.sqrt(max(1, len(x)) * max(1, len(y))) for y in b] for x in a])
+
+
+def test_whole_query_against_brute_kernel(spark, sf_dir):
+    """All predictions from the kernel's definition: Nystroem features of sets of n-grams, and ridge regression."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    p = language.Parameters(most=30, landmarks=24)
+    chosen = language.sample(docs, parameters=p)
+    held = {r.doc_id for r in docs.where(language.held_out("doc_id")).collect()}
+    by_text = {r.text: r for r in docs.collect() if r.doc_id not in held}
+    assert all(by_text[t].lang == lang for t, lang in chosen)
+    per = Counter(lang for _, lang in chosen)
+    assert per == {lang: min(30, n) for lang, n in Counter(r.lang for r in docs.collect() if r.doc_id not in held and r.text and r.lang).items()}
+    langs = sorted(per)
+    turns = [[t for t, x in chosen if x == lang] for lang in langs]
+    marks = [set(brute_ngrams(ts[i])) for i in range(30) for ts in turns if i < len(ts)][:24]
+    sets = [set(brute_ngrams(t)) for t, _ in chosen]
+    values, vectors = np.linalg.eigh(brute_kernel(marks, marks))
+    root = vectors @ np.diag(1 / np.sqrt(values)) @ vectors.T
+    x = brute_kernel(sets, marks) @ root
+    y = np.array([[1.0 if lang == k else -1.0 for k in langs] for _, lang in chosen])
+    w = np.linalg.solve(x.T @ x + p.ridge * len(x) * np.eye(24), x.T @ y)
+    got = {r.doc_id: r for r in language.identify(docs, parameters=p).collect()}
+    rows = docs.collect()
+    known = [r for r in rows if r.text and any(map(str.isalpha, r.text))]
+    want = brute_kernel([set(brute_ngrams(r.text)) for r in known], marks) @ root @ w
+    for r, v in zip(known, want, strict=True):
+        assert abs(got[r.doc_id].score - min(1, max(0, (v.max() + 1) / 2))) < 0.02
+        top = np.sort(v)[-2:]
+        assert got[r.doc_id].lang_pred == langs[v.argmax()] or top[1] - top[0] < 0.02
+    assert all(got[r.doc_id].lang_pred == "und" for r in rows if r not in known)
+
+
+def alphabet(start, n, r):
+    return [chr(start + i) for i in r.choice(n, 40, replace=False)]
+
+
+def test_many_languages_and_large_scripts(spark):
+    """70 languages are all learned, and late and large scripts keep their n-grams."""
+    r = np.random.default_rng(1)
+    scripts = {f"l{i:02d}": [chr(0x61 + j) for j in r.choice(26, 9, replace=False)] for i in range(66)}
+    scripts |= {"zh": alphabet(0x4E00, 400, r), "ja": alphabet(0x3041, 80, r), "xx": alphabet(0x20000, 400, r), "he": [chr(0x5D0 + j) for j in range(27)]}
+    rows = []
+    for lang, letters in scripts.items():
+        words = ["".join(r.choice(letters, r.integers(2, 5))) for _ in range(30)]
+        rows += [(len(rows) + i, " ".join(r.choice(words, 40)), lang) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.fit(docs)
+    assert model.languages == sorted(scripts)
+    truth = {d: lang for d, _, lang in rows}
+    held = [x for x in language.identify(docs).collect() if x.held_out]
+    right = Counter(truth[x.doc_id] for x in held if x.lang_pred == truth[x.doc_id])
+    total = Counter(truth[x.doc_id] for x in held)
+    assert all(right[k] / total[k] >= 0.9 for k in ("zh", "ja", "xx", "he"))
+    assert sum(right.values()) / sum(total.values()) >= 0.9
 
 
 def test_held_out_accuracy(spark):
