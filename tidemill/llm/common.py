@@ -46,6 +46,16 @@ def fresh(columns: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
+#: Parts that the rows of one key are dealt to.
+SALTS = 16
+
+
+def salted(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The inner join of rows with keys, distinct in `on`, where no key's rows all go to one task: keys come once a salt."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    return dealt.join(keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "_salt"]).drop("_salt")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes the rows to the cluster's shared checkpoint folder and reads them from there.
 

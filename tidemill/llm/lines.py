@@ -1,8 +1,9 @@
 """Line deduplication by winnowing, with DataFrame functions only.
 
 Of every window of consecutive lines the smallest line hash is selected, so two equal windows select the same line at the
-same place: a guaranteed fingerprint. Only fingerprints at several positions are joined; around each, the windows that
-selected it are compared on both sides of it, and windows that started earlier anywhere make up repeated runs.
+same place: a guaranteed fingerprint. Only the selected positions become rows, each with the lines around it that its
+windows reach. Positions whose fingerprint occurs once are done with; the others are extended to both sides, line by line,
+to the windows that selected them, and a window that started earlier anywhere is a repeated run.
 """
 
 from __future__ import annotations
@@ -10,25 +11,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import salted
+
 #: Lines of the shortest run that counts as repeated.
 WINDOW = 3
 
 
 def _key(id_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    """An id as text that is never null; null and the empty text differ."""
+    return F.when(F.col(id_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(id_col).cast("string")))
 
 
-def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Rows (doc_id, text_key, start, mark, whole, selects): each window's selected line hash and its hash as a whole.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """Rows (doc_id, text_key, start, mark, lines), one for each selected position.
 
-    selects tells whether the window is the first to select its line at that position.
+    mark is the selected line's hash; lines are the hashes of all lines of the windows that selected it, of which the first
+    begins at start.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.xxhash64(x)).alias("h"))
     rows = rows.where(F.size("h") >= window)
     part = lambda i: F.slice(F.col("h"), i + 1, window)
-    places = F.transform(F.sequence(F.lit(0), F.size("h") - window), lambda i: (i + F.array_position(part(i), F.array_min(part(i))) - 1).cast("int"))
-    rows = rows.select("doc_id", "text_key", "h", places.alias("p"))
-    each = F.transform("p", lambda p, i: F.struct(i.alias("start"), F.get("h", p).alias("mark"), F.xxhash64(part(i)).alias("whole"), ((i == 0) | (F.get("p", i - 1) != p)).alias("selects")))
+    selected = F.transform(F.sequence(F.lit(0), F.size("h") - window), lambda i: (i + F.array_position(part(i), F.array_min(part(i))) - 1).cast("int"))
+    rows = rows.select("doc_id", "text_key", "h", selected.alias("p"))
+    firsts = F.filter(F.transform("p", lambda p, i: F.when((i == 0) | (F.get("p", i - 1) != p), i)), lambda i: i.isNotNull())
+    rows = rows.select("doc_id", "text_key", "h", "p", firsts.alias("firsts"))
+    reach = lambda i, k: F.slice("h", i + 1, F.coalesce(F.get("firsts", k + 1), F.size("p")) - i + (window - 1))
+    each = F.transform("firsts", lambda i, k: F.struct(i.alias("start"), F.get("h", F.get("p", i)).alias("mark"), reach(i, k).alias("lines")))
     return rows.select("doc_id", "text_key", F.explode(each).alias("w")).select("doc_id", "text_key", "w.*")
 
 
@@ -36,17 +44,20 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row for every row of docs: doc_id, n_lines, n_removed, kept_sha256, kept.
 
     Lines are what newlines separate; a null text has none, an empty text one empty line. A line is removed if it lies in
-    a run of `window` lines that also starts earlier: in a smaller doc_id (null last), or before it in the same text.
-    Rows that repeat a doc_id are ordered by a hash of their text; rows that also agree in text count as one place and
-    keep and lose the same lines. kept is the lines that stay, joined by newlines, kept_sha256 its digest. An empty table
-    gives an empty result.
+    a run of `window` lines that also starts earlier: in a smaller doc_id (null last), or before it in the same text. Runs
+    are equal if the 64-bit hashes of all their lines are. Rows that repeat a doc_id are ordered by a hash of their text;
+    rows that also agree in text count as one place and keep and lose the same lines. Texts may be of any length; other
+    columns of docs, whatever their names, are not looked at. kept is the lines that stay, joined by newlines, kept_sha256
+    its digest. An empty table gives an empty result.
     """
-    found = windows(docs, id_col, text_col, window)
-    repeated = found.groupBy("mark").agg(F.sum(F.col("selects").cast("int")).alias("places")).where("places > 1").select("mark")
-    near = found.drop("selects").join(repeated, "mark")
+    found = fingerprints(docs, id_col, text_col, window)
+    repeated = found.groupBy("mark").agg(F.count("*").alias("places")).where("places > 1").select("mark")
+    near = salted(found, repeated, ["mark"])
+    extended = F.transform(F.sequence(F.lit(0), F.size("lines") - window), lambda i: F.struct((F.col("start") + i).alias("start"), F.slice("lines", i + 1, window).alias("run")))
+    runs = near.select("doc_id", "text_key", F.explode(extended).alias("w")).select("doc_id", "text_key", "w.*")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "start")
-    earliest = near.groupBy("mark", "whole").agg(F.min(place).alias("earliest"), F.count("*").alias("n")).where("n > 1").select("mark", "whole", "earliest")
-    again = near.join(earliest, ["mark", "whole"]).where(place > F.col("earliest"))
+    earliest = runs.groupBy("run").agg(F.min(place).alias("earliest"), F.count("*").alias("n")).where("n > 1").select("run", "earliest")
+    again = salted(runs, earliest, ["run"]).where(place > F.col("earliest"))
     gone = again.groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))
     gone = gone.select(_key("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "starts")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select("*", F.xxhash64("text").alias("text_key"))

@@ -54,8 +54,8 @@ def signatures(text: Column) -> Column:
     """The set of a text's signatures, as a sorted array of 32-bit hashes.
 
     Words are runs of letters and digits in lower case. A chain passes over any number of common words. A text
-    without any signature has its words as a whole as the only one, so that equal texts have equal sets and other texts,
-    but for hash collisions, other ones.
+    without any signature has 64 bits of a hash of its words as a whole, as two, so that equal texts have equal sets and
+    other texts, but for hash collisions, other ones.
     """
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
@@ -66,7 +66,7 @@ def signatures(text: Column) -> Column:
         many = lambda c: _let(F.regexp_replace(c, _MARKED, ""), lambda chain: F.transform(F.filter(each(c), lambda x: (x != "") & (chain != "")), lambda x: F.hash(F.concat(x, chain))))
         one = lambda c: F.filter(F.array(F.hash(F.substring(c, 2, 2147483647))), lambda _: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) > CHAIN)
         hashes = F.flatten(F.transform(runs, lambda c: F.when(c.rlike(_ONE), one(c)).otherwise(many(c))))
-        return _let(F.sort_array(F.array_distinct(hashes)), lambda some: F.when(F.size(some) > 0, some).otherwise(F.array(F.hash(w))))
+        return _let(F.sort_array(F.array_distinct(hashes)), lambda some: F.when(F.size(some) > 0, some).otherwise(F.sort_array(F.array(F.hash(w), F.hash(F.lit(MARK), w)))))
 
     return _let(words, of_words)
 
@@ -83,7 +83,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _key(column: str) -> Column:
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    """An id of any type as text that is never null; null and the empty text differ."""
+    return F.when(F.col(column).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(column).cast("string")))
 
 
 def _chain(docs: DataFrame) -> DataFrame:
@@ -97,8 +98,8 @@ def _chain(docs: DataFrame) -> DataFrame:
     dealt = cut(ids.repartitionByRange(parts, F.desc_nulls_last("doc_id")).select("doc_id", "need", F.spark_partition_id().alias("part")))
     order = Window.partitionBy("part").orderBy(F.desc_nulls_last("doc_id"))
     inner = dealt.select("part", _key("doc_id").alias("key"), F.lag(F.struct(_key("doc_id").alias("to"), "need")).over(order).alias("p"), F.row_number().over(order).alias("nth"))
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), (-F.col("doc_id")).alias("less"))
-    ends = dealt.groupBy("part").agg(F.max_by(F.struct(_key("doc_id").alias("to"), "need"), rank).alias("end"))
+    rank = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")
+    ends = dealt.groupBy("part").agg(F.min_by(F.struct(_key("doc_id").alias("to"), "need"), rank).alias("end"))
     every = Window.partitionBy(F.lit(0)).orderBy("part")
     before = ends.select("part", F.coalesce(F.lag("end").over(every), F.last("end").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
     return inner.join(before, "part").select("key", F.when(F.col("nth") == 1, F.col("before")).otherwise(F.col("p")).alias("p")).select("key", "p.to", "p.need")
