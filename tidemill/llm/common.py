@@ -6,8 +6,9 @@ import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker handles at once; a longer single text is handled alone.
 CHUNK_BYTES = 4 << 20
@@ -46,13 +47,25 @@ def fresh(columns: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _has_map(kind.elementType)
+
+
+def row_hash(df: DataFrame, seed: int = 0) -> Column:
+    """A 64-bit hash of all columns of a row; those that hold maps, which have no hash, count by their JSON."""
+    columns = [F.to_json(F.struct(F.col(f"`{f.name}`")), {"ignoreNullFields": "false"}) if _has_map(f.dataType) else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return F.xxhash64(F.lit(seed), *columns)
+
+
 #: Parts that the rows of one key are dealt to.
 SALTS = 16
 
 
 def salted(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """The inner join of rows with keys, distinct in `on`, where no key's rows all go to one task: keys come once a salt."""
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    dealt = rows.withColumn("_salt", F.pmod(row_hash(rows), F.lit(SALTS)).cast("int"))
     return dealt.join(keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "_salt"]).drop("_salt")
 
 

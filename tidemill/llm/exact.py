@@ -1,8 +1,9 @@
 """Exact deduplication with a log-structured merge index of digests.
 
-Texts become digests of their normalised bytes. Each task gathers digests in a bounded memtable and flushes it as a
-sorted run; compaction merges the runs, keeping for each digest the best identifier. A Bloom filter of bounded size over
-the digests that several rows share then lets a second scan ship only likely hits, whose bytes are compared.
+Texts become digests of their normalised bytes. Each task gathers digests in a bounded memtable and flushes it as a sorted
+run. Compaction deals runs to ranges of digests, merges the runs of a range in order, keeps for each digest the best
+identifier, and leaves one longer sorted run a range; later runs merge with it the same way. Each range has a Bloom filter
+of the digests that several rows share, and a second scan ships only the texts that hit it, whose bytes are compared.
 """
 
 from __future__ import annotations
@@ -15,13 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import SPACE_BYTES, chunks, cut
+from tidemill.llm.common import SPACE_BYTES, chunks, cut, fresh, row_hash
 
 #: Entries of a memtable before it is flushed as a run.
 MEMTABLE = 1 << 17
-#: Bits of the filter over shared digests, whatever the size of the corpus: 4 MB at most leave the executors.
-FILTER_BITS = 1 << 25
+#: Bits of the filters for each shared digest, and the most and fewest of all together: 32 MB at most leave the executors.
+#: Fuller filters ship more texts, never fewer.
+BITS_EACH, FILTER_BITS, FEWEST_BITS = 16, 1 << 28, 1 << 14
 PROBES = 3
+#: Ranges of digests, by their first byte, each with a filter of its own.
+RANGES = 256
 
 
 def normalised(text: bytes | None) -> bytes:
@@ -81,23 +85,55 @@ def _rank() -> Column:
 def compact(*tables: DataFrame) -> DataFrame:
     """Merges runs: one row (digest, points, best, n) for each digest, with the best row's identifier kept.
 
-    A compacted table is a run itself, so a later batch's runs merge into it in the same way.
+    Rows are dealt by the first two bytes of the digest and each part's runs are merged in order, in one pass that holds
+    one row. A compacted table is a run itself, so a later batch's runs merge into it in the same way.
     """
     merged = tables[0]
     for t in tables[1:]:
         merged = merged.unionByName(t)
-    low = merged.groupBy("digest").agg(F.min(_rank()).alias("r"), F.sum("n").alias("n"))
-    return low.select("digest", (-F.col("r.less")).alias("points"), F.col("r.best").alias("best"), "n")
+    schema = pa.schema([("digest", pa.binary()), ("points", pa.int64()), ("best", _arrow_type(merged, "best")), ("n", pa.int64())])
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[bytes, int, object, int] | None = None
+        for batch in batches:
+            done = []
+            for row in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
+                if held is None:
+                    held = row
+                elif held[0] != row[0]:
+                    done.append(held)
+                    held = row
+                else:
+                    best = row if _better(row[1:3], held[1:3]) else held
+                    held = (*best[:3], held[3] + row[3])
+            yield _batch(done, schema)
+        if held is not None:
+            yield _batch([held], schema)
+
+    dealt = merged.select("digest", "points", "best", "n").repartition(F.substring("digest", 1, 2)).sortWithinPartitions("digest")
+    return dealt.mapInArrow(merge, merged.schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ([] for _ in schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
 def _probes(digests: list[bytes], bits: int) -> np.ndarray:
-    """The filter positions of digests, from their first bytes hashed anew."""
-    raw = np.frombuffer(b"".join(hashlib.blake2b(d, digest_size=4 * PROBES).digest() for d in digests), "<u4")
-    return raw.reshape(-1, PROBES) % bits
+    """The filter positions of digests: their range's filter begins at a place of its own, and their bytes are hashed anew."""
+    ranges = min(RANGES, bits // 64)
+    raw = np.frombuffer(b"".join(hashlib.blake2b(d, digest_size=4 * PROBES).digest() for d in digests), "<u4").reshape(-1, PROBES)
+    first = np.fromiter((d[0] % ranges if d else 0 for d in digests), np.int64, len(digests))
+    return first[:, None] * (bits // ranges) + raw % np.uint32(bits // ranges)
+
+
+def filter_bits_for(shared: int, most: int = FILTER_BITS) -> int:
+    """Bits for so many shared digests: a power of two."""
+    return min(most, max(FEWEST_BITS, 1 << (BITS_EACH * shared).bit_length()))
 
 
-def shared_filter(compacted: DataFrame, bits: int = FILTER_BITS) -> bytes:
-    """A Bloom filter over the digests with several rows. Its size is `bits` / 8 bytes, so the driver may hold it."""
+def shared_filter(compacted: DataFrame, bits: int) -> bytes:
+    """The ranges' Bloom filters over the digests with several rows, `bits` / 8 bytes together."""
 
     def positions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +147,7 @@ def shared_filter(compacted: DataFrame, bits: int = FILTER_BITS) -> bytes:
     return out.tobytes()
 
 
-def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32, memtable: int = MEMTABLE, filter_bits: int = FILTER_BITS) -> DataFrame:
+def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32, memtable: int = MEMTABLE, filter_bits: int | None = None) -> DataFrame:
     """One row for every row of docs: doc_id, keep_id, group_size, kept, text_sha256, points.
 
     Texts are equal when identical after deleting ASCII white space; null counts as empty. Of equal texts the row with the
@@ -124,6 +160,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     index = cut(compact(runs(rows, "doc_id", "text", digest_bytes, memtable)))
+    filter_bits = filter_bits or filter_bits_for(index.where("n > 1").count())
     shared = spark.sparkContext.broadcast(shared_filter(index, filter_bits))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,16 +219,19 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters: int) -> DataFrame:
-    """The rows of docs that stay, with all their columns.
+    """The rows of docs that stay, with all their columns, whatever their names and types.
 
-    Rows are matched to decisions by id and text digest; where a whole key repeats, one row of the longest text stays.
+    Rows are matched to decisions by id and text digest; where a whole key repeats, one row of the longest text stays. Null
+    texts count as empty, null ids come last, texts may be of any length, an empty table stays empty.
     """
-    kept = decisions(docs, id_col, text_col, **parameters).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"), F.col("points").alias("_kept_points")).distinct()
+    names = fresh(docs.columns, "kept_id", "kept_sha", "kept_points", "sha", "points", "nth")
+    kept_id, kept_sha, kept_points, sha, points, nth = names
+    kept = decisions(docs, id_col, text_col, **parameters).where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha), F.col("points").alias(kept_points)).distinct()
     plain = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", "").cast("binary"), 256)
-    marked = docs.select(*docs.columns, plain.alias("_sha"), F.coalesce(F.length(text_col), F.lit(0)).alias("_points"))
-    joined = marked.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")) & (F.col("_points") == F.col("_kept_points")))
-    one = F.row_number().over(Window.partitionBy(id_col, "_sha", "_points").orderBy(text_col))
-    return joined.withColumn("_nth", one).where("_nth = 1").select(*docs.columns)
+    marked = docs.select(*docs.columns, plain.alias(sha), F.coalesce(F.length(text_col), F.lit(0)).alias(points))
+    joined = marked.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(sha) == F.col(kept_sha)) & (F.col(points) == F.col(kept_points)))
+    one = F.row_number().over(Window.partitionBy(id_col, sha, points).orderBy(text_col, row_hash(docs)))
+    return joined.withColumn(nth, one).where(F.col(nth) == 1).select(*docs.columns)
 
 
 #: The same rows in DuckDB.

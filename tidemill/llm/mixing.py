@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import SPACE_CLASS, cut
+from tidemill.llm.common import SPACE_CLASS, cut, fresh, row_hash
 
 #: Weights by a source's rank, repeating.
 WEIGHTS = (5, 2, 1)
@@ -63,7 +63,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     then by the id; as sizes only rise along the order, a source's taken words miss its target by less than its largest
     document. Null ids hash as the empty text; rows that agree in source, size and id get the copies of their places, in
     any order. A source of no words takes nothing. The ranks come from counts of (source, size) and of (source, size,
-    hash bucket), so no task ever holds a source. An empty table gives an empty result.
+    hash bucket), so no task ever holds a source. Texts may be of any length; other columns of docs, whatever their names,
+    are not looked at. An empty table gives an empty result.
     """
     source = F.col(source_col).cast("string")
     text_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
@@ -91,13 +92,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
-    """The mix itself: rows of docs with all their columns, each as often as it is taken; identical rows pool their copies."""
-    key = F.xxhash64(*docs.columns)
-    pooled = mix(docs, id_col, text_col, source_col, seed, (key,)).groupBy("doc_id", "key0").agg(F.sum("copies").alias("_copies")).where("_copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("key0").alias("_mix_key"), "_copies")
-    one = F.row_number().over(Window.partitionBy("_key").orderBy(F.asc_nulls_last(id_col)))
-    rows = docs.select(*docs.columns, key.alias("_key")).withColumn("_nth", one).where("_nth = 1")
-    joined = rows.join(pooled, (F.col("_key") == F.col("_mix_key")) & F.col(id_col).eqNullSafe(F.col("_mix_id")))
-    return joined.select(*docs.columns, F.explode(F.expr("array_repeat(0, cast(_copies as int))")).alias("_copy")).drop("_copy")
+    """The mix itself: rows of docs with all their columns, each as often as it is taken; identical rows pool their copies.
+
+    Rows are identical if two 64-bit hashes of all their columns are, maps by their JSON. Nulls, ties and sources as in
+    mix(); columns may have any names and types; an empty table stays empty.
+    """
+    mix_id, mix_a, mix_b, copies, key_a, key_b, nth, copy = fresh(docs.columns, "mix_id", "mix_a", "mix_b", "copies", "key_a", "key_b", "nth", "copy")
+    keys = (row_hash(docs), row_hash(docs, 1))
+    pooled = mix(docs, id_col, text_col, source_col, seed, keys).groupBy("doc_id", "key0", "key1").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    pooled = pooled.select(F.col("doc_id").alias(mix_id), F.col("key0").alias(mix_a), F.col("key1").alias(mix_b), F.col("copies").cast("int").alias(copies))
+    one = F.row_number().over(Window.partitionBy(key_a, key_b).orderBy(F.asc_nulls_last(id_col)))
+    rows = docs.select(*docs.columns, keys[0].alias(key_a), keys[1].alias(key_b)).withColumn(nth, one).where(F.col(nth) == 1)
+    joined = rows.join(pooled, (F.col(key_a) == F.col(mix_a)) & (F.col(key_b) == F.col(mix_b)) & F.col(id_col).eqNullSafe(F.col(mix_id)))
+    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col(copies))).alias(copy)).select(*docs.columns)
 
 
 #: The same rows in DuckDB.

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import chunks, components, cut
+from tidemill.llm.common import chunks, components, cut, fresh, row_hash, salted
 
 BITS = 64
 SEED = 42
@@ -132,8 +132,10 @@ def classes(fps: DataFrame, radius: int = 4, blocks: int | None = None) -> DataF
     joined = components(pairs)
     whole = fps.join(named.withColumnRenamed("node", "fp"), "fp", "left").withColumn("part", F.coalesce("root", "fp")).drop("root")
     whole = whole.join(joined.withColumnRenamed("node", "part"), "part", "left").select("fp", "doc_id", F.coalesce("root", "part").alias("part"))
-    least = whole.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    return whole.join(least, "part").select("fp", "part", "component_id")
+    # Most fingerprints are alone; only those of larger components need the smallest id of others, dealt by salt.
+    least = cut(whole.groupBy("part").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")))
+    alone = least.where("n = 1").select(F.col("part").alias("fp"), "part", "component_id")
+    return alone.unionByName(salted(whole.select("fp", "part"), least.where("n > 1").drop("n"), ["part"]).select("fp", "part", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
@@ -142,7 +144,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint: 16 lowercase hex digits. component_id: the smallest doc_id that links lead to, the row's own included;
     null ids are never smallest, and a component of null ids alone has null. Texts that are null or have no word have
     fingerprint zero, linked like any other. Rows that repeat a doc_id each stay and are classed by their own text.
-    An empty table gives an empty result.
+    Texts may be of any length; other columns of docs, whatever their names, are not looked at. An empty table gives an
+    empty result.
     """
     fps = cut(fingerprints(docs, id_col, text_col, words))
     classed = classes(cut(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))), radius)
@@ -152,13 +155,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each component one, with the smallest id (null last).
 
-    Rows that agree in id and text are one document, of which one row stays.
+    Rows that agree in id and text are one document, of which one row stays. Null texts and those without words have one
+    fingerprint. Columns may have any names and types; an empty table stays empty.
     """
+    kept_id, kept_key, text_key, nth = fresh(docs.columns, "kept_id", "kept_key", "text_key", "nth")
     fps = cut(fingerprints(docs, id_col, text_col, words))
     classed = classes(cut(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))), radius)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("first")
-    kept = fps.join(classed.select("fp", "part"), "fp").groupBy("part").agg(first).select(F.col("first.doc_id").alias("_kept_id"), F.col("first.text_key").alias("_kept_key")).distinct()
-    rows = docs.select(*docs.columns, F.xxhash64(text_col).alias("_text_key"))
-    joined = rows.join(kept, (F.col("_text_key") == F.col("_kept_key")) & F.col(id_col).eqNullSafe(F.col("_kept_id")))
-    one = F.row_number().over(Window.partitionBy("_kept_id", "_kept_key").orderBy(F.xxhash64(*docs.columns)))
-    return joined.withColumn("_nth", one).where("_nth = 1").select(*docs.columns)
+    kept = fps.join(classed.select("fp", "part"), "fp").groupBy("part").agg(first).select(F.col("first.doc_id").alias(kept_id), F.col("first.text_key").alias(kept_key)).distinct()
+    rows = docs.select(*docs.columns, F.xxhash64(text_col).alias(text_key))
+    joined = rows.join(kept, (F.col(text_key) == F.col(kept_key)) & F.col(id_col).eqNullSafe(F.col(kept_id)))
+    one = F.row_number().over(Window.partitionBy(kept_id, kept_key).orderBy(row_hash(docs)))
+    return joined.withColumn(nth, one).where(F.col(nth) == 1).select(*docs.columns)
