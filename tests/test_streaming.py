@@ -159,3 +159,29 @@ def test_running_sum_by_event_time(stream, tmp_path):
         total[k] += v
         want[i] = total[k]
     assert {r.seq: r.running for r in got if r.key >= 0} == want
+
+
+def test_top_n_counts_equal_rows_and_nulls(stream, tmp_path):
+    row = (1, 9, 5, DAY)
+    data = [row, (1, 1, 1, DAY), (1, None, 2, DAY), row, (1, 7, 3, DAY)]
+    got = run(stateful.top_n(stream(data, parts=5, sentinel=False), ["k"], "v", "seq", 3), tmp_path, "update")
+    count = collections.Counter()
+    for op, *r in map(tuple, got):
+        count[tuple(r)] += 1 if op == "+I" else -1
+    assert {r: n for r, n in count.items() if n} == {row: 2, (1, 7, 3, DAY): 1}
+
+
+def test_distinct_count_group_lifecycle(stream, tmp_path):
+    """A group goes with its last row and starts anew; a removal may come first."""
+    data = [(1, 4, 0, DAY), (1, 4, 1, DAY), (1, 6, 2, DAY), (2, 5, 1, DAY), (2, 5, 0, DAY), (2, 8, 0, DAY)]
+    signed = stream(data, parts=6, sentinel=False).withColumn("op", F.when(F.col("seq") == 1, "-D").otherwise("+I"))
+    got = run(stateful.distinct_count(signed, ["k"], "v"), tmp_path, "update")
+    by_key = {k: [(r.op, r.n) for r in got if r.k == k] for k in (1, 2)}
+    assert by_key[1] == [("+I", 1), ("-D", 1), ("+I", 1)]
+    assert by_key[2][-1] == ("+I", 1) and folded((r.op, r.k, r.n) for r in got) == {(1, 1), (2, 1)}
+
+
+def test_keep_last_with_null_times(stream, tmp_path):
+    data = [(1, 0, 0, None), (1, 1, 1, DAY), (1, 2, 2, None)]
+    got = run(stateful.keep_last(stream(data, sentinel=False), ["k"], "ts"), tmp_path, "update")
+    assert folded(map(tuple, got)) == {(1, 1, 1, DAY)}

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators.windows import _micros, as_micros
+
 #: A lookup table is broadcast up to this size, checked against the optimizer's estimate; larger ones are shuffled.
 LOOKUP_BYTES = 64 << 20
 
@@ -18,9 +20,22 @@ def regular(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], how:
     return left.join(right, condition, how)
 
 
-def theta(left: DataFrame, right: DataFrame, condition: Column, how: str = "inner") -> DataFrame:
-    """A join on any predicate."""
-    return left.join(right, condition, how)
+def theta(left: DataFrame, right: DataFrame, condition: Column, how: str = "inner", limit: int = LOOKUP_BYTES) -> DataFrame:
+    """A join on any predicate.
+
+    An inner join broadcasts a side within the limit, else its parts meet pairwise. Of an outer, semi or anti join the side
+    that isn't kept must be within the limit, as each kept row has to see all of it; a larger one raises.
+    """
+    if how in ("inner", "cross"):
+        if size_in_bytes(right) <= limit:
+            return left.join(F.broadcast(right), condition, how)
+        if size_in_bytes(left) <= limit:
+            return F.broadcast(left).join(right, condition, how)
+        return left.join(right.hint("SHUFFLE_REPLICATE_NL"), condition, how)
+    other = left if how in ("right", "right_outer") else right
+    if size_in_bytes(other) > limit:
+        raise ValueError(f"a {how} join without equal keys needs its other side within {limit} bytes; give it a key, or a range to bucket by")
+    return F.broadcast(left).join(right, condition, how) if other is left else left.join(F.broadcast(right), condition, how)
 
 
 def multiway(inputs: list[DataFrame], conditions: list[Column], types: list[str]) -> DataFrame:
@@ -44,21 +59,32 @@ def lookup(probe: DataFrame, table: DataFrame, on: Column, how: str = "inner", l
 def interval(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], left_ts: str, right_ts: str, lower: str, upper: str, how: str = "inner", bucket: str | None = None) -> DataFrame:
     """Equal keys and lower <= left_ts - right_ts <= upper, given as interval literals such as "'-5' MINUTE".
 
-    An inner join may name a bucket: each right row then goes to the buckets of time that its range meets, which keeps a
-    key with very many rows from meeting itself all over.
+    A bucket, an interval literal too, keeps a key with very many rows from meeting itself all over: the rows of one side
+    then go to the buckets of time that their range meets, those of the other to their own. Outer joins add the rows that
+    have no match in their bucket.
     """
     low, high = F.expr(f"INTERVAL {lower}"), F.expr(f"INTERVAL {upper}")
-    on = [left[a] == right[b] for a, b in keys]
-    near = (left[left_ts] >= right[right_ts] + low) & (left[left_ts] <= right[right_ts] + high)
-    if bucket is None or how != "inner":
-        return left.join(right, reduce(lambda x, y: x & y, [*on, near]), how)
-    from tidemill.operators.windows import _micros
 
+    def met(a: DataFrame, b: DataFrame) -> Column:
+        near = (a[left_ts] >= b[right_ts] + low) & (a[left_ts] <= b[right_ts] + high)
+        return reduce(lambda x, y: x & y, [*(a[k] == b[j] for k, j in keys), near])
+
+    if bucket is None:
+        return left.join(right, met(left, right), how)
     size = _micros(bucket)
-    at = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / size)
-    lefts = left.withColumn("_bucket", at(left[left_ts]))
-    rights = right.withColumn("_buckets", F.explode(F.sequence(at(right[right_ts] + low), at(right[right_ts] + high))))
-    return lefts.join(rights, reduce(lambda x, y: x & y, [*on, near, lefts["_bucket"] == rights["_buckets"]])).drop("_bucket", "_buckets")
+    at = lambda c: F.floor(as_micros(c) / size)
+    spread = lambda first, last: F.explode(F.sequence(first, last))
+    own, near_right = left.withColumn("_bucket", at(left[left_ts])), right.withColumn("_buckets", spread(at(right[right_ts] + low), at(right[right_ts] + high)))
+    out = own.join(near_right, met(own, near_right) & (own["_bucket"] == near_right["_buckets"])).drop("_bucket", "_buckets")
+    nulls = lambda df: [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
+    if how in ("left", "full"):
+        alone = own.join(near_right, met(own, near_right) & (own["_bucket"] == near_right["_buckets"]), "left_anti")
+        out = out.union(alone.select(*(alone[c] for c in left.columns), *nulls(right)))
+    if how in ("right", "full"):
+        own_right, near_left = right.withColumn("_bucket", at(right[right_ts])), left.withColumn("_buckets", spread(at(left[left_ts] - high), at(left[left_ts] - low)))
+        alone = own_right.join(near_left, met(near_left, own_right) & (own_right["_bucket"] == near_left["_buckets"]), "left_anti")
+        out = out.union(alone.select(*nulls(left), *(alone[c] for c in right.columns)))
+    return out
 
 
 def versions(table: DataFrame, key: str, ts: str, seq: str | None = None) -> DataFrame:

@@ -44,10 +44,15 @@ def unnest_rows(df: DataFrame, collection: Column, outer: bool = False) -> DataF
     return df.select("*", (F.inline_outer if outer else F.inline)(some))
 
 
-def unnest_map(df: DataFrame, collection: Column, key: str, value: str, outer: bool = False) -> DataFrame:
-    return df.select("*", (F.explode_outer if outer else F.explode)(collection).alias(key, value))
+def unnest_map(df: DataFrame, collection: Column, key: str, value: str, outer: bool = False, ordinality: str | None = None) -> DataFrame:
+    """UNNEST of a map, with a 1-based ordinality if named; outer keeps rows of empty and NULL maps."""
+    if ordinality is None:
+        return df.select("*", (F.explode_outer if outer else F.explode)(collection).alias(key, value))
+    out = df.select("*", (F.posexplode_outer if outer else F.posexplode)(collection).alias("_pos", key, value))
+    return out.withColumn(ordinality, F.col("_pos") + 1).drop("_pos")
 
 
-def unnest_multiset(df: DataFrame, collection: Column, name: str) -> DataFrame:
-    """Each element as often as the multiset counts it."""
-    return replicate(df.select("*", F.explode(collection).alias(name, "_n")), F.col("_n")).drop("_n")
+def unnest_multiset(df: DataFrame, collection: Column, name: str, outer: bool = False, ordinality: str | None = None) -> DataFrame:
+    """Each element of a map from elements to counts as often as it counts, with a 1-based ordinality if named."""
+    times = F.transform(F.map_entries(collection), lambda e: F.array_repeat(e["key"], F.greatest(F.coalesce(e["value"], F.lit(0)), F.lit(0)).cast("int")))
+    return unnest(df, F.flatten(times), name, ordinality, outer)

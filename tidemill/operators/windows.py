@@ -17,25 +17,34 @@ def _micros(interval: str) -> Column:
     return F.lit(round(float(number) * UNITS[unit])).cast("bigint")
 
 
-def _as_micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
+def as_micros(ts: Column) -> Column:
+    """Microseconds of a wall-clock time since 1970, by its own fields, so that no zone or change of clocks has a part."""
+    t = ts.cast("timestamp_ntz")
+    minutes = F.unix_date(t.cast("date")).cast("bigint") * 1440 + F.hour(t) * 60 + F.minute(t)
+    return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
+
+
+def at_micros(micros: Column) -> Column:
+    """The wall-clock time of microseconds since 1970."""
+    seconds = (micros.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
 
 
 def _bounded(df: DataFrame, start: Column, end: Column) -> DataFrame:
-    at = lambda x: F.timestamp_micros(x).cast("timestamp_ntz")
+    at = at_micros
     return df.withColumns({"window_start": at(start), "window_end": at(end), "window_time": at(end - 1000)})
 
 
 def tumble(df: DataFrame, ts: str, size: str, offset: str = "'0' SECOND") -> DataFrame:
     """TUMBLE: one window for each row; rows without a time are dropped. window_time is a millisecond before the end."""
-    t, n = _as_micros(F.col(ts)), _micros(size)
+    t, n = as_micros(F.col(ts)), _micros(size)
     start = t - F.pmod(t - _micros(offset), n)
     return _bounded(df.where(F.col(ts).isNotNull()), start, start + n)
 
 
 def hop(df: DataFrame, ts: str, slide: str, size: str, offset: str = "'0' SECOND") -> DataFrame:
     """HOP: a row for each window that holds the row's time, newest first."""
-    t, s, n = _as_micros(F.col(ts)), _micros(slide), _micros(size)
+    t, s, n = as_micros(F.col(ts)), _micros(slide), _micros(size)
     last = t - F.pmod(t - _micros(offset), s)
     starts = F.when(last > t - n, F.sequence(last, t - n + F.pmod(last - (t - n) - 1, s) + 1, -s)).otherwise(F.array().cast("array<bigint>"))
     rows = df.where(F.col(ts).isNotNull()).withColumn("_start", F.explode(starts))
@@ -44,7 +53,7 @@ def hop(df: DataFrame, ts: str, slide: str, size: str, offset: str = "'0' SECOND
 
 def cumulate(df: DataFrame, ts: str, step: str, size: str, offset: str = "'0' SECOND") -> DataFrame:
     """CUMULATE: windows of one start with ends growing by a step, from the first that holds the row's time."""
-    t, s, n = _as_micros(F.col(ts)), _micros(step), _micros(size)
+    t, s, n = as_micros(F.col(ts)), _micros(step), _micros(size)
     start = t - F.pmod(t - _micros(offset), n)
     first = t - F.pmod(t - _micros(offset), s) + s
     rows = df.where(F.col(ts).isNotNull()).withColumns({"_start": start, "_ends": F.sequence(first, start + n, s)})
@@ -54,13 +63,13 @@ def cumulate(df: DataFrame, ts: str, step: str, size: str, offset: str = "'0' SE
 
 def session(df: DataFrame, ts: str, gap: str, keys: list[str]) -> DataFrame:
     """SESSION: rows of a key at most a gap apart share a window, from the first to the gap after the last."""
-    t, n = _as_micros(F.col(ts)), _micros(gap)
+    t, n = as_micros(F.col(ts)), _micros(gap)
     order = Window.partitionBy(*keys).orderBy(ts)
-    new = F.coalesce((t - _as_micros(F.lag(ts).over(order)) > n).cast("int"), F.lit(1))
+    new = F.coalesce((t - as_micros(F.lag(ts).over(order)) > n).cast("int"), F.lit(1))
     rows = df.where(F.col(ts).isNotNull()).withColumn("_new", new).withColumn("_session", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy(*keys, "_session")
     rows = rows.withColumns({"_low": F.min(ts).over(whole), "_high": F.max(ts).over(whole)})
-    return _bounded(rows, _as_micros(F.col("_low")), _as_micros(F.col("_high")) + n).drop("_new", "_session", "_low", "_high")
+    return _bounded(rows, as_micros(F.col("_low")), as_micros(F.col("_high")) + n).drop("_new", "_session", "_low", "_high")
 
 
 def count_tumble(df: DataFrame, n: int, keys: list[str], order: list[str]) -> DataFrame:

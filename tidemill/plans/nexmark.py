@@ -322,11 +322,11 @@ def temporal_join_inner(spark: SparkSession, folder: str) -> DataFrame:
     return joins.temporal(b, N.versioned_auction(spark, folder), "auction", "id", "bid_time", "dateTime", ["seller", "category"], how="inner", seq="seq")
 
 
-@register("temporal_function_join", sql("bid", """SELECT b.seq, b.price, (SELECT max_by(v.price, v.seq) FROM bid v WHERE v.bidder = b.bidder AND v.seq % 7 = 0 AND v.seq <= b.seq) AS latest FROM bid b WHERE EXISTS (SELECT 1 FROM bid v WHERE v.bidder = b.bidder AND v.seq % 7 = 0 AND v.seq <= b.seq)"""))
+@register("temporal_function_join", sql("bid", """SELECT seq, price, latest FROM (SELECT seq, price, lag(price) OVER (PARTITION BY bidder ORDER BY seq) AS latest FROM bid) WHERE latest IS NOT NULL"""))
 def temporal_function_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Processing time: each row meets the build row of its key that arrived last, by arrival numbers."""
+    """Processing time: each row meets the row of its key that arrived last before it, by arrival numbers."""
     b = N.bid(spark, folder)
-    build = b.where("seq % 7 = 0").select("bidder", F.col("seq").alias("arrived"), F.col("price").alias("latest"))
+    build = b.select("bidder", (F.col("seq") + 1).alias("arrived"), F.col("price").alias("latest"))
     return joins.temporal(b.select("bidder", "seq", "price"), build, "bidder", "bidder", "seq", "arrived", ["latest"], how="inner").drop("bidder")
 
 
@@ -450,11 +450,11 @@ def hash_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parts_of(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    b = N.bid(spark, folder).select(F.expr("auction % 50").alias("a"), "channel")
-    return b.where("a % 4 = 0"), b.where("a % 6 = 0")
+    b = N.bid(spark, folder).select("auction", "channel", F.hour("dateTime").alias("h"))
+    return b.where("h < 16").drop("h"), b.where("h >= 8").drop("h")
 
 
-PARTS = """x AS (SELECT auction % 50 AS a, channel FROM bid WHERE auction % 50 % 4 = 0), y AS (SELECT auction % 50 AS a, channel FROM bid WHERE auction % 50 % 6 = 0)"""
+PARTS = """x AS (SELECT auction, channel FROM bid WHERE hour("dateTime") < 16), y AS (SELECT auction, channel FROM bid WHERE hour("dateTime") >= 8)"""
 for name, word, run in (
     ("intersect", "INTERSECT", lambda a, b: sets.intersect(a, b)),
     ("intersect_all", "INTERSECT ALL", lambda a, b: sets.intersect(a, b, True)),

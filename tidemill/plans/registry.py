@@ -28,7 +28,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from tidemill.plans import nexmark, relational  # noqa: F401
+    from tidemill.plans import calc, nexmark, relational  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import pickle
+from collections import Counter
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -40,7 +41,10 @@ def _changelog(df: DataFrame, columns: list[str]) -> str:
 
 
 class KeepLast(StatefulProcessor):
-    """Row-time deduplication that keeps the last row: first +I, then -U and +U; an earlier row changes nothing."""
+    """Row-time deduplication that keeps the last row: first +I, then -U and +U; an earlier row changes nothing.
+
+    A row without a time is earlier than all others.
+    """
 
     def __init__(self, columns: list[str], kinds: str, ts: str):
         self.columns, self.kinds, self.ts = columns, kinds, ts
@@ -52,10 +56,10 @@ class KeepLast(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         at = self.columns.index(self.ts)
         now = tuple(self.last.get()) if self.last.exists() else None
-        for row in sorted((tuple(r[c] for c in self.columns) for r in rows), key=lambda r: r[at]):
+        for row in sorted((tuple(r[c] for c in self.columns) for r in rows), key=lambda r: (r[at] is not None, r[at])):
             if now is None:
                 yield self.row("+I", *row)
-            elif row[at] >= now[at]:
+            elif now[at] is None or row[at] is not None and row[at] >= now[at]:
                 if row == now:
                     continue
                 yield self.row("-U", *now)
@@ -70,7 +74,10 @@ class KeepLast(StatefulProcessor):
 
 
 class TopN(StatefulProcessor):
-    """The n rows of a key with the highest value (ties: the smaller tie column): +I and -D as rows enter and leave."""
+    """The n rows of a key with the highest value (ties: the smaller tie column): +I and -D as rows enter and leave.
+
+    Equal rows count one by one; a NULL value is lower than all others, a NULL tie greater.
+    """
 
     def __init__(self, columns: list[str], kinds: str, by: str, tie: str, n: int):
         self.columns, self.kinds, self.by, self.tie, self.n = columns, kinds, by, tie, n
@@ -82,13 +89,13 @@ class TopN(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         by, tie = self.columns.index(self.by), self.columns.index(self.tie)
         old = [tuple(r) for r in self.top.get()] if self.top.exists() else []
-        new = heapq.nsmallest(self.n, [*old, *(tuple(r[c] for c in self.columns) for r in rows)], key=lambda r: (-r[by], r[tie]))
-        for r in old:
-            if r not in new:
-                yield self.row("-D", *r)
-        for r in new:
-            if r not in old:
-                yield self.row("+I", *r)
+        order = lambda r: (r[by] is None, 0 if r[by] is None else -r[by], r[tie] is None, 0 if r[tie] is None else r[tie])
+        new = heapq.nsmallest(self.n, [*old, *(tuple(r[c] for c in self.columns) for r in rows)], key=order)
+        left, entered = Counter(old) - Counter(new), Counter(new) - Counter(old)
+        for r in left.elements():
+            yield self.row("-D", *r)
+        for r in entered.elements():
+            yield self.row("+I", *r)
         self.top.put(new)
 
     def close(self) -> None:
@@ -96,7 +103,10 @@ class TopN(StatefulProcessor):
 
 
 class DistinctCount(StatefulProcessor):
-    """COUNT(DISTINCT value) of a key over a changelog; value counts make removals exact."""
+    """COUNT(DISTINCT value) of a key over a changelog; value counts make removals exact.
+
+    A key whose last row is removed goes (-D) and starts anew with its next one. A removal may come before its row.
+    """
 
     def __init__(self, keys: list[str], value: str, kind: str):
         self.keys, self.value, self.kind = keys, value, kind
@@ -104,27 +114,30 @@ class DistinctCount(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.row = Row("op", *self.keys, "n")
         self.times = handle.getMapState("times", f"value {self.kind}", "n bigint")
-        self.total = handle.getValueState("total", "n bigint")
+        self.total = handle.getValueState("total", "n bigint, held bigint, shown boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        before = self.total.get()[0] if self.total.exists() else None
-        total = before or 0
+        before, held, shown = self.total.get() if self.total.exists() else (0, 0, False)
+        total = before
         for r in rows:
             value, step = (r[self.value],), (1 if r["op"] in ("+I", "+U") else -1)
+            held += step
             if value[0] is None:
                 continue
             n = self.times.getValue(value)[0] if self.times.containsKey(value) else 0
-            total += (n == 0 and step > 0) - (n == 1 and step < 0)
-            if n + step > 0:
+            total += (n <= 0 < n + step) - (n > 0 >= n + step)
+            if n + step:
                 self.times.updateValue(value, (n + step,))
             elif n:
                 self.times.removeKey(value)
-        self.total.update((total,))
-        if before is None:
+        if held > 0 and not shown:
             yield self.row("+I", *key, total)
-        elif total != before:
+        elif held > 0 and total != before:
             yield self.row("-U", *key, before)
             yield self.row("+U", *key, total)
+        elif held <= 0 and shown:
+            yield self.row("-D", *key, before)
+        self.total.update((total, held, held > 0))
 
     def close(self) -> None:
         pass
