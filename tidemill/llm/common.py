@@ -141,13 +141,14 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def linked(buckets: DataFrame, near: Callable[[DataFrame], DataFrame], by: str = "node") -> DataFrame:
+def linked(buckets: DataFrame, near: Callable[[DataFrame], DataFrame], by: str = "node", about: DataFrame | None = None, may: Callable[[str, str], Column] | None = None) -> DataFrame:
     """Components of nodes that share a bucket and are near: rows (node, root), for nodes with a link.
 
     buckets: rows (key, node, ...); near keeps the near pairs of rows (a, b). In each bucket a node is first compared with
     the first one in the order `by` and with the one before it, which is linear and joins dense groups if what comes first
     is near many; then only buckets that still hold several components are joined with themselves, and only nodes of
-    different components meet. No link is lost.
+    different components meet. There `may` can rule out pairs, so that they make no rows, by what `about` tells of each node
+    (in columns that end in _a and _b). No link is lost.
     """
     order = f"over (partition by key order by {by}, node)"
     held = cut(buckets.selectExpr("key", "node", f"first(node) {order} as low", f"lag(node) {order} as before", f"lead(node) {order} as after").where("before is not null or after is not null"))
@@ -156,7 +157,13 @@ def linked(buckets: DataFrame, near: Callable[[DataFrame], DataFrame], by: str =
     parts = held.select("key", "node").join(named, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
     mixed = parts.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
     rest = cut(parts.join(mixed, "key", "left_semi"))
-    pairs = rest.toDF("key", "a", "part_a").join(rest.toDF("key", "b", "part_b"), "key").where("part_a < part_b").select("a", "b", "part_a", "part_b").distinct()
+    if about is not None:
+        rest = rest.join(about, "node")
+    side = lambda x: rest.select("key", *(F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in rest.columns if c != "key"))
+    pairs = side("a").join(side("b"), "key").where("part_a < part_b")
+    if may is not None:
+        pairs = pairs.where(may("a", "b"))
+    pairs = pairs.select("a", "b", "part_a", "part_b").distinct()
     more = near(pairs).select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
     joined = components(more)
     roots = named.select(F.col("root").alias("node")).unionByName(joined.select("node")).unionByName(joined.select(F.col("root").alias("node"))).distinct()
