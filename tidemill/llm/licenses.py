@@ -114,6 +114,8 @@ class Scanner:
         self.ids = {w: k for k, w in enumerate(dict.fromkeys(w for s in sequences for w in s))}
         self.sizes = [len(s) for s in sequences]
         self.phrases = len(phrases)
+        #: Runs of known words that are shorter hold neither a phrase nor a match that counts.
+        self.shortest = min([LEAST, *(n for n in self.sizes[: len(phrases)] if n)])
         self.automaton = Automaton([[self.ids[w] for w in s] for s in sequences])
         # Phrases that end wherever a state's words end: those whose whole sequence is one of its suffixes.
         self.closing: list[tuple[tuple[int, int], ...]] = []
@@ -131,7 +133,7 @@ class Scanner:
         edges = np.diff(np.concatenate(([0], (known >= 0).view(np.int8), [0])))
         starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
         places, matches = [], []
-        long = ends - starts >= 2
+        long = ends - starts >= self.shortest
         for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
             before = (0, 0)
             for j, now in enumerate(self.automaton.statistics(known[a:b].tolist()), a):
@@ -176,7 +178,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     largest start of such a place, null without one. labels holds the base labels and those of templates of which at
     least COVERED is chained; both lists are sorted, comma-joined, and empty if there is nothing. score is the largest
     covered share of a template, 1 with a phrase. spans: (label, first_word, end_word, covered) of every chain. A null
-    text has no word. An empty table gives an empty result.
+    text has no word. Repeated rows each stay, texts may be of any length, other columns of docs, whatever their names, are
+    not looked at. An empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
