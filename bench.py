@@ -15,7 +15,7 @@ os.environ["PYTHONPATH"] = f"{ROOT}{os.pathsep}{os.environ.get('PYTHONPATH', '')
 
 #: Each is run once to compile and warm up and then timed once; results go to a sink that keeps nothing.
 HEADLINES = [
-    "q0", "q1", "q2", "q3", "q4", "q5", "q7", "q8", "q9", "q10", "q11", "q12", "q13", "q15", "q16", "q17", "q18", "q19", "q20", "q21", "q22", "global_aggregate", "group_aggregate", "aggregate_modifiers",
+    "q0", "q1", "q2", "q3", "q4", "q5", "q6", "q7", "q8", "q9", "q10", "q11", "q12", "q13", "q14", "q15", "q16", "q17", "q18", "q19", "q20", "q21", "q22", "q23", "global_aggregate", "group_aggregate", "aggregate_modifiers",
     "grouping_sets", "over_event_time", "over_bounded_range", "temporal_join", "interval_join", "temporal_sort", "bounded_sort", "top_n", "bounded_rank", "match_recognize", "join_multiway", "cumulate_aggregate",
     "session_aggregate", "changelog_normalize",
 ]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,3 +66,29 @@ def grouping_sets(df: DataFrame, sets: list[list[str]], columns: list[str], **ca
 def expand(df: DataFrame, projections: list[list[Column]], names: list[str]) -> DataFrame:
     """Row-major expansion: every input row once for each projection."""
     return df.select(F.inline(F.array(*(F.struct(*(c.alias(n) for c, n in zip(p, names, strict=True))) for p in projections))))
+
+
+def split_distinct(df: DataFrame, keys: list[str], calls: dict[str, tuple[Column, Callable[[str], Column]]], distinct: dict[str, tuple[str, Column | None]]) -> DataFrame:
+    """Aggregates with several COUNT(DISTINCT column) FILTER (...), without a copy of each row for every one of them.
+
+    calls: name -> (aggregate, how its partial results combine); distinct: name -> (column, filter or None). Rows are first
+    grouped by the keys and one counted column, with a flag for each filter, which splits a hot group by that column's
+    values; then the flags are counted. The small results of several columns are joined; NULL keys are a group.
+    """
+    by_column: dict[str, list[str]] = {}
+    for name, (column, _) in distinct.items():
+        by_column.setdefault(column, []).append(name)
+    out = None
+    for column, names in by_column.items():
+        plain = calls if out is None else {}
+        flag = lambda name: F.max(F.lit(True) if distinct[name][1] is None else distinct[name][1]).alias(name)
+        once = df.groupBy(*keys, F.col(column).alias("_value")).agg(*(c.alias(n) for n, (c, _) in plain.items()), *map(flag, names))
+        counted = lambda name: F.count(F.when(F.col(name) & F.col("_value").isNotNull(), 1)).alias(name)
+        part = once.groupBy(*keys).agg(*(combine(n).alias(n) for n, (_, combine) in plain.items()), *map(counted, names))
+        if out is None:
+            out = part
+        else:
+            other = part.select(*(F.col(k).alias(f"_{k}") for k in keys), *names)
+            on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+            out = out.join(other, on).drop(*(f"_{k}" for k in keys))
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Microseconds of the units of an interval literal.
@@ -17,8 +17,15 @@ def _micros(interval: str) -> Column:
     return F.lit(round(float(number) * UNITS[unit])).cast("bigint")
 
 
+def _in_utc() -> bool:
+    """Whether the session's zone is UTC, where a wall-clock time and an instant are the same number."""
+    return SparkSession.active().conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "Z")
+
+
 def as_micros(ts: Column) -> Column:
     """Microseconds of a wall-clock time since 1970, by its own fields, so that no zone or change of clocks has a part."""
+    if _in_utc():
+        return F.unix_micros(ts.cast("timestamp"))
     t = ts.cast("timestamp_ntz")
     minutes = F.unix_date(t.cast("date")).cast("bigint") * 1440 + F.hour(t) * 60 + F.minute(t)
     return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
@@ -26,6 +33,8 @@ def as_micros(ts: Column) -> Column:
 
 def at_micros(micros: Column) -> Column:
     """The wall-clock time of microseconds since 1970."""
+    if _in_utc():
+        return F.timestamp_micros(micros).cast("timestamp_ntz")
     seconds = (micros.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
     return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
 

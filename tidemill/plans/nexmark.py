@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,11 +44,14 @@ def rank_filters() -> list[tuple[str, Column | None]]:
     return [("total", None), ("rank1", p < 10_000), ("rank2", (p >= 10_000) & (p < 1_000_000)), ("rank3", p >= 1_000_000)]
 
 
-def rank_counts(distinct: bool = True) -> list[Column]:
-    out = [A.count(where).alias(f"{name}_bids") for name, where in rank_filters()]
-    if distinct:
-        out += [A.count_of(F.col(c), True, where).alias(f"{name}_{c}s") for c in ("bidder", "auction") for name, where in rank_filters()]
-    return out
+def rank_counts() -> list[Column]:
+    return [A.count(where).alias(f"{name}_bids") for name, where in rank_filters()]
+
+
+def rank_distincts(df: DataFrame, keys: list[str], **calls: tuple[Column, Callable[[str], Column]]) -> DataFrame:
+    """The bids of each rank, and their different bidders and auctions."""
+    calls |= {f"{name}_bids": (A.count(where), F.sum) for name, where in rank_filters()}
+    return A.split_distinct(df, keys, calls, {f"{name}_{c}s": (c, where) for c in ("bidder", "auction") for name, where in rank_filters()})
 
 
 @register("q0", sql("bid", f"SELECT {BID_SQL} FROM bid"))
@@ -178,20 +183,20 @@ def q14(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("q15", sql("bid", f"""SELECT strftime("dateTime", '%Y-%m-%d') AS day, {RANKS}, {DISTINCTS} FROM bid GROUP BY 1"""))
 def q15(spark: SparkSession, folder: str) -> DataFrame:
-    return N.bid(spark, folder).groupBy(F.date_format("dateTime", "yyyy-MM-dd").alias("day")).agg(*rank_counts())
+    return rank_distincts(N.bid(spark, folder).withColumn("day", F.date_format("dateTime", "yyyy-MM-dd")), ["day"])
 
 
 @register("q16", sql("bid", f"""SELECT channel, strftime("dateTime", '%Y-%m-%d') AS day, max(strftime("dateTime", '%H:%M')) AS minute, {RANKS}, {DISTINCTS} FROM bid GROUP BY 1, 2"""))
 def q16(spark: SparkSession, folder: str) -> DataFrame:
-    day = F.date_format("dateTime", "yyyy-MM-dd").alias("day")
-    return N.bid(spark, folder).groupBy("channel", day).agg(F.max(F.date_format("dateTime", "HH:mm")).alias("minute"), *rank_counts())
+    rows = N.bid(spark, folder).withColumns({"day": F.date_format("dateTime", "yyyy-MM-dd"), "clock": F.date_format("dateTime", "HH:mm")})
+    return rank_distincts(rows, ["channel", "day"], minute=(F.max("clock"), F.max))
 
 
 @register("q17", sql("bid", f"""SELECT auction, strftime("dateTime", '%Y-%m-%d') AS day, {RANKS}, min(price) AS min_price, max(price) AS max_price, CAST(sum(price) // count(price) AS BIGINT) AS avg_price, CAST(sum(price) AS BIGINT) AS sum_price FROM bid GROUP BY 1, 2"""))
 def q17(spark: SparkSession, folder: str) -> DataFrame:
     p = F.col("price")
     return N.bid(spark, folder).groupBy("auction", F.date_format("dateTime", "yyyy-MM-dd").alias("day")).agg(
-        *rank_counts(False), F.min(p).alias("min_price"), F.max(p).alias("max_price"), A.avg_of(p).alias("avg_price"), A.sum_of(p).alias("sum_price")
+        *rank_counts(), F.min(p).alias("min_price"), F.max(p).alias("max_price"), A.avg_of(p).alias("avg_price"), A.sum_of(p).alias("sum_price")
     )
 
 
