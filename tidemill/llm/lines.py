@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import salted
+from tidemill.llm.common import cut, salted
 
 #: A run counts as repeated from so many lines on, if any of them has a word, or from so many words on.
 WINDOW, WORDS = 3, 10
@@ -31,7 +31,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     lines = F.split(F.col(text_col), "\n", -1)
     hashes = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]++")).alias("c")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), hashes.alias("l")).where(F.size("l") > 0)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), hashes.alias("l"), F.col(text_col).isNotNull().alias("some")).where("some")
     rows = rows.select("doc_id", "text_key", F.col("l.h").alias("h"), F.col("l.g").alias("g"), F.col("l.c").alias("c"))
 
     def length(i: Column) -> Column:
@@ -71,12 +71,13 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     repeated = found.groupBy("mark").agg(F.count("*").alias("places")).where("places > 1").select("mark")
     near = salted(found, repeated, ["mark"])
     run = lambda n, i: F.struct(F.slice("lines", i + 1, n).alias("lines"), F.slice("checks", i + 1, n).alias("checks"))
-    extended = F.filter(F.transform("lens", lambda n, i: F.struct((F.col("start") + i).alias("start"), n.alias("n"), run(n, i).alias("run"))), lambda w: w.n > 0)
-    runs = near.select("doc_id", "text_key", F.explode(extended).alias("w")).select("doc_id", "text_key", "w.*")
+    extended = F.filter(F.transform("lens", lambda n, i: F.struct((F.col("start") + i).alias("start"), run(n, i).alias("run"))), lambda w: F.size(w.run.lines) > 0)
+    # Written, so that the texts are not looked through once more for the second use below.
+    runs = cut(near.select("doc_id", "text_key", F.explode(extended).alias("w")).select("doc_id", "text_key", "w.*"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "start")
     earliest = runs.groupBy("run").agg(F.min(place).alias("earliest"), F.count("*").alias("times")).where("times > 1").select("run", "earliest")
     again = salted(runs, earliest, ["run"]).where(place > F.col("earliest"))
-    gone = again.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "n")).alias("starts"))
+    gone = again.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", F.size("run.lines").alias("n"))).alias("starts"))
     gone = gone.select(_key("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "starts")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select("*", F.xxhash64("text").alias("text_key"))
     joined = rows.join(gone, (_key("doc_id") == F.col("gone_id")) & (F.col("text_key") == F.col("gone_key")), "left")
