@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.testing import assertDataFrameEqual
 
 from tidemill.functions import collections as C
 from tidemill.functions import numeric, predicates, strings, temporal
@@ -220,3 +221,14 @@ def test_sources(spark, tmp_path):
     events = nexmark.generated(spark, 5000)
     assert {r.event_type: r["count"] for r in events.groupBy("event_type").count().collect()} == {0: 100, 1: 300, 2: 4600}
     assert connectors.digest(events) == connectors.digest(nexmark.generated(spark, 5000, parts=3))
+
+
+@pytest.mark.parametrize(("slide", "size"), [("'4' HOUR", "'10' HOUR"), ("'10' MINUTE", "'10' MINUTE"), ("'3' HOUR", "'1' HOUR")])
+def test_slices_give_the_windows_of_whole_rows(spark, slide, size):
+    rows = spark.range(3000).select((F.col("id") % 7).alias("k"), F.expr("if(id % 50 = 0, null, timestamp_ntz'1969-12-30 01:07:03.5' + make_dt_interval(0, 0, id * 37 % 5000, id))").alias("ts"), F.expr("nullif(id % 13, 5)").alias("v"))
+    calls = {"n": (F.count("*"), F.sum), "low": (F.min("v"), F.min), "total": (F.sum("v"), F.sum)}
+    plain = [c.alias(name) for name, (c, _) in calls.items()]
+    bounds = ["k", "window_start", "window_end"]
+    for offset in ("'0' SECOND", "'-90' SECOND"):
+        assertDataFrameEqual(windows.hop_aggregate(rows, "ts", slide, size, ["k"], calls, offset), windows.hop(rows, "ts", slide, size, offset).groupBy(*bounds).agg(*plain))
+        assertDataFrameEqual(windows.cumulate_aggregate(rows, "ts", "'2' HOUR", "'8' HOUR", ["k"], calls, offset), windows.cumulate(rows, "ts", "'2' HOUR", "'8' HOUR", offset).groupBy(*bounds).agg(*plain))

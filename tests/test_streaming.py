@@ -1,4 +1,6 @@
 import collections
+import decimal
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -185,3 +187,55 @@ def test_keep_last_with_null_times(stream, tmp_path):
     data = [(1, 0, 0, None), (1, 1, 1, DAY), (1, 2, 2, None)]
     got = run(stateful.keep_last(stream(data, sentinel=False), ["k"], "ts"), tmp_path, "update")
     assert folded(map(tuple, got)) == {(1, 1, 1, DAY)}
+
+
+def test_group_aggregate_of_any_calls_with_removals(stream, tmp_path):
+    """Every third row is removed later, each of key 3 is; the changes fold to what is left, aggregated."""
+    data = [(i * 13 % 5, None if i % 11 == 0 else i * 31 % 17 - 8, i, DAY) for i in range(60)]
+    removed = [r for r in data if r[2] % 3 == 0 or r[0] == 3]
+    arrivals = [*data[:30], *(r for r in removed if r[2] < 30), *data[30:], *(r for r in removed if r[2] >= 30)]
+    seen, signed = set(), []
+    for k, v, i, ts in arrivals:
+        signed.append((k, v, i + (1000 if i in seen else 0), ts))
+        seen.add(i)
+    df = stream(signed, 5, False).withColumn("op", F.expr("if(seq >= 1000, '-D', '+I')")).withColumn("d", F.expr("cast(v as decimal(9,2)) / 4").cast("decimal(9,2)"))
+    Call = stateful.Call  # noqa: N806
+    calls = {
+        "n": Call("COUNT"), "total": Call("SUM", "v"), "average": Call("AVG", "v"), "low": Call("MIN", "v"), "high": Call("MAX", "v", where="v < 5"),
+        "kinds": Call("COUNT", "v", True), "once": Call("SUM", "v", True, "v > 0"), "cents": Call("SUM", "d"), "mean": Call("AVG", "d"),
+    }
+    got = run(stateful.group_aggregate(df, ["k"], calls), tmp_path, "update")
+    want, left = set(), [r for r in data if r not in removed]
+    for k in {r[0] for r in left}:
+        vs = [v for j, v, _, _ in left if j == k and v is not None]
+        number = len([r for r in left if r[0] == k])
+        if not vs:
+            want.add((k, number, None, None, None, None, 0, None, None, None))
+            continue
+        some = lambda xs, f: f(xs) if xs else None
+        cents = sum(decimal.Decimal(v * 25) / 100 for v in vs)
+        mean = (cents / len(vs)).quantize(decimal.Decimal("0.01"), decimal.ROUND_HALF_UP)
+        want.add((k, number, sum(vs), int(sum(vs) / len(vs)), min(vs), some([v for v in vs if v < 5], max), len(set(vs)), some({v for v in vs if v > 0}, sum), cents, mean))
+    assert folded(map(tuple, got)) == want and 3 not in {w[0] for w in want}
+    assert {r.op for r in got} == {"+I", "-U", "+U", "-D"}
+
+
+def test_group_aggregate_forgets_keys_after_their_time(spark, tmp_path):
+    """With a time to live a stream runs on, so this stops it: a key's state is gone in a later batch, and +I comes again."""
+    folder = tmp_path / "later"
+    first = spark.createDataFrame([(1, 2, 0, DAY)], SCHEMA).coalesce(1)
+    first.write.mode("append").parquet(str(folder))
+    df = spark.readStream.schema(SCHEMA).parquet(str(folder)).withColumn("op", F.lit("+I"))
+    out = stateful.group_aggregate(df, ["k"], {"n": stateful.Call("COUNT")}, ttl=1000)
+    query = out.writeStream.format("memory").queryName("forgets").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        for rows_seen in (1, 2):
+            end = time.monotonic() + 40
+            while spark.table("forgets").count() < rows_seen and time.monotonic() < end:
+                time.sleep(0.5)
+            if rows_seen == 1:
+                time.sleep(3)
+                first.write.mode("append").parquet(str(folder))
+        assert [tuple(r) for r in spark.table("forgets").collect()] == [("+I", 1, 1), ("+I", 1, 1)]
+    finally:
+        query.stop()

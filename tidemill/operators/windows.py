@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,10 +13,14 @@ from pyspark.sql import functions as F
 UNITS = {"DAY": 86_400_000_000, "HOUR": 3_600_000_000, "MINUTE": 60_000_000, "SECOND": 1_000_000}
 
 
-def _micros(interval: str) -> Column:
+def _length(interval: str) -> int:
     """The length of an interval literal such as "'10' MINUTE", in microseconds."""
     number, unit = re.fullmatch(r"'(-?[0-9.]+)' (DAY|HOUR|MINUTE|SECOND)S?", interval).groups()
-    return F.lit(round(float(number) * UNITS[unit])).cast("bigint")
+    return round(float(number) * UNITS[unit])
+
+
+def _micros(interval: str) -> Column:
+    return F.lit(_length(interval)).cast("bigint")
 
 
 def _in_utc() -> bool:
@@ -70,6 +76,31 @@ def cumulate(df: DataFrame, ts: str, step: str, size: str, offset: str = "'0' SE
     return _bounded(rows, F.col("_start"), F.col("_end")).drop("_start", "_end", "_ends")
 
 
+#: name -> (aggregate of rows, how the results of slices combine).
+Calls = dict[str, tuple[Column, Callable[[str], Column]]]
+
+
+def _sliced(df: DataFrame, ts: str, width: int, keys: list[str], calls: Calls, offset: str, windowed: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Aggregates rows by slice, then only the slices' results go to all windows that hold them.
+
+    That pays where a key has many rows a slice; where it has about one, windows of the rows themselves save a shuffle.
+    """
+    slices = tumble(df, ts, f"'{width / UNITS['SECOND']:.6f}' SECOND", offset)
+    part = slices.groupBy(*keys, F.col("window_start").alias("_slice")).agg(*(c.alias(n) for n, (c, _) in calls.items()))
+    return windowed(part, "_slice").groupBy(*keys, "window_start", "window_end").agg(*(combine(n).alias(n) for n, (_, combine) in calls.items()))
+
+
+def hop_aggregate(df: DataFrame, ts: str, slide: str, size: str, keys: list[str], calls: Calls, offset: str = "'0' SECOND") -> DataFrame:
+    """GROUP BY keys and HOP window, by slices of the greatest width of which slide and size are multiples."""
+    width = math.gcd(_length(slide), _length(size))
+    return _sliced(df, ts, width, keys, calls, offset, lambda part, at: hop(part, at, slide, size, offset))
+
+
+def cumulate_aggregate(df: DataFrame, ts: str, step: str, size: str, keys: list[str], calls: Calls, offset: str = "'0' SECOND") -> DataFrame:
+    """GROUP BY keys and CUMULATE window, by slices of a step; the size is a multiple of it."""
+    return _sliced(df, ts, _length(step), keys, calls, offset, lambda part, at: cumulate(part, at, step, size, offset))
+
+
 def session(df: DataFrame, ts: str, gap: str, keys: list[str]) -> DataFrame:
     """SESSION: rows of a key at most a gap apart share a window, from the first to the gap after the last."""
     t, n = as_micros(F.col(ts)), _micros(gap)

@@ -221,7 +221,7 @@ def tumble_aggregate(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("cumulate_aggregate", """SELECT s AS window_start, s + to_hours(CAST(2 * k AS INTEGER)) AS window_end, count(*) AS n FROM (SELECT ts, time_bucket(INTERVAL '10 hours', ts, TIMESTAMP '1970-01-01') AS s FROM events), range(1, 6) r(k) WHERE s + to_hours(CAST(2 * k AS INTEGER)) > ts GROUP BY ALL""")
 def cumulate_aggregate(spark: SparkSession, folder: str) -> DataFrame:
-    return windows.cumulate(events(spark, folder), "ts", "'2' HOUR", "'10' HOUR").groupBy("window_start", "window_end").agg(F.count("*").alias("n"))
+    return windows.cumulate_aggregate(events(spark, folder), "ts", "'2' HOUR", "'10' HOUR", [], {"n": (F.count("*"), F.sum)})
 
 
 @register("attached_window_aggregate", f"SELECT w AS window_start, max(n) AS top FROM (SELECT user_id, {BUCKET} AS w, count(*) AS n FROM events GROUP BY ALL) GROUP BY w")

@@ -8,15 +8,20 @@ from __future__ import annotations
 
 import heapq
 import pickle
+import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import UTC, datetime
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemill.functions.numeric import INT_BITS
+
 
 def _millis(t: datetime) -> int:
     return int((t.replace(tzinfo=UTC) if t.tzinfo is None else t).timestamp() * 1000)
@@ -36,6 +41,35 @@ def _fields(*pairs: tuple[str, str]) -> str:
     return ", ".join(f"`{n}` {t}" for n, t in pairs)
 
 
+_EXACT = Context(prec=76)
+
+
+def _total_type(kind: str) -> str:
+    """Sums of integers are kept as decimals of 38 digits, so that a removal undoes what only the result wraps."""
+    return "decimal(38,0)" if kind in INT_BITS else re.sub(r"decimal\(\d+", "decimal(38", kind)
+
+
+def _kept(total, kind: str):
+    return Decimal(total) if total is not None and kind in INT_BITS else total
+
+
+def _quotient(total, n: int):
+    """Integers truncate toward zero."""
+    if isinstance(total, float):
+        return total / n
+    if isinstance(total, Decimal) and total.as_tuple().exponent < 0:
+        return _EXACT.divide(total, n).quantize(total, ROUND_HALF_UP, _EXACT)
+    return abs(int(total)) // n * (1 if total >= 0 else -1)
+
+
+def _typed(x, kind: str):
+    """A result in the argument's type: integers wrap."""
+    if kind not in INT_BITS:
+        return x
+    bits = INT_BITS[kind]
+    return (int(x) + (1 << bits - 1)) % (1 << bits) - (1 << bits - 1)
+
+
 def _changelog(df: DataFrame, columns: list[str]) -> str:
     return _fields(("op", "string"), *((c, df.schema[c].dataType.simpleString()) for c in columns))
 
@@ -143,6 +177,95 @@ class DistinctCount(StatefulProcessor):
         pass
 
 
+@dataclass(frozen=True)
+class Call:
+    """An aggregate call: COUNT, SUM, AVG, MIN or MAX of a column (COUNT: or of rows), DISTINCT and FILTER (a condition)."""
+
+    kind: str
+    column: str | None = None
+    distinct: bool = False
+    where: str | None = None
+
+    @property
+    def by_value(self) -> bool:
+        """Whether a removal can only be answered from how often each value is there."""
+        return self.distinct or self.kind in ("MIN", "MAX")
+
+
+class GroupAggregate(StatefulProcessor):
+    """Any aggregate calls of a key over a changelog, with one change out for each key and batch.
+
+    A call's state is a number of values and their sum; calls that depend on single values also count each of them. An
+    extremum that was removed is searched for once a batch, among the key's values. A key whose last row is removed goes
+    (-D) and starts anew with its next one; a removal may come before its row. NULL arguments are passed over.
+    """
+
+    def __init__(self, keys: list[str], calls: list[Call], kinds: list[str], ttl: int | None):
+        self.keys, self.calls, self.kinds, self.ttl = keys, calls, kinds, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.row = Row("op", *self.keys, *(f"c{i}" for i in range(len(self.calls))))
+        state = _fields(("held", "bigint"), ("shown", "boolean"), *(p for i, k in enumerate(self.kinds) for p in ((f"n{i}", "bigint"), (f"t{i}", _total_type(k)))))
+        self.total = handle.getValueState("total", state, self.ttl)
+        self.times = {i: handle.getMapState(f"times{i}", f"value {k}", "n bigint", self.ttl) for i, (c, k) in enumerate(zip(self.calls, self.kinds, strict=True)) if c.by_value}
+
+    def _add(self, i: int, value, step: int) -> int:
+        """Counts a value of a call; 1 if it is there now and was not before, -1 the other way round."""
+        times = self.times[i]
+        n = times.getValue((value,))[0] if times.containsKey((value,)) else 0
+        if n + step:
+            times.updateValue((value,), (n + step,))
+        else:
+            times.removeKey((value,))
+        return (n <= 0 < n + step) - (n > 0 >= n + step)
+
+    def _result(self, i: int, n: int, total):
+        kind = self.calls[i].kind
+        if kind == "COUNT":
+            return n
+        if n <= 0 or total is None:
+            return None
+        return _typed(_quotient(total, n) if kind == "AVG" else total, self.kinds[i])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        state = self.total.get() if self.total.exists() else (0, False, *(None, None) * len(self.calls))
+        held, shown = state[:2]
+        sums = [[state[2 + 2 * i] or 0, state[3 + 2 * i]] for i in range(len(self.calls))]
+        before = [self._result(i, *s) for i, s in enumerate(sums)]
+        search = set()
+        for r in rows:
+            sign = 1 if r["op"] in ("+I", "+U") else -1
+            held += sign
+            for i, call in enumerate(self.calls):
+                value = r[f"c{i}"]
+                if value is None:
+                    continue
+                step = self._add(i, value, sign) if call.by_value else sign
+                sums[i][0] += step
+                total = sums[i][1]
+                if call.kind in ("SUM", "AVG"):
+                    sums[i][1] = _EXACT.add(total or 0, step * value) if isinstance(value, Decimal) else (total or 0) + step * value
+                elif call.by_value and step > 0 and call.kind != "COUNT":
+                    sums[i][1] = value if total is None else (max if call.kind == "MAX" else min)(total, value)
+                elif call.by_value and step < 0 and value == total:
+                    search.add(i)
+        for i in search:
+            there = (v[0] for v, n in self.times[i].iterator() if n[0] > 0)
+            sums[i][1] = (max if self.calls[i].kind == "MAX" else min)(there, default=None)
+        now = [self._result(i, *s) for i, s in enumerate(sums)]
+        if held > 0 and not shown:
+            yield self.row("+I", *key, *now)
+        elif held > 0 and now != before:
+            yield self.row("-U", *key, *before)
+            yield self.row("+U", *key, *now)
+        elif held <= 0 and shown:
+            yield self.row("-D", *key, *before)
+        self.total.update((held, held > 0, *(x for i, (n, t) in enumerate(sums) for x in (n, _kept(t, self.kinds[i])))))
+
+    def close(self) -> None:
+        pass
+
+
 class OuterJoin(StatefulProcessor):
     """A left outer equi join without watermarks: a row pads with NULLs until its first match retracts that."""
 
@@ -271,6 +394,22 @@ def distinct_count(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).transformWithState(DistinctCount(keys, value, kind), out, "Update", "None")
 
 
+def group_aggregate(df: DataFrame, keys: list[str], calls: dict[str, Call], ttl: int | None = None) -> DataFrame:
+    """The changelog of SELECT keys, calls GROUP BY keys over a changelog (columns op and others).
+
+    With ttl, a key's state ends so many milliseconds after its last change; a stream with it does not end by itself, not
+    even with availableNow, because Spark goes on to look for state that is over.
+    """
+    argument = lambda c: F.expr(c.column) if c.column else F.lit(1)
+    values = [(F.when(F.expr(c.where), argument(c)) if c.where else argument(c)).alias(f"c{i}") for i, c in enumerate(calls.values())]
+    rows = df.select("op", *keys, *values)
+    kinds = [rows.schema[f"c{i}"].dataType.simpleString() for i in range(len(calls))]
+    results = [(f"c{i}", "bigint" if c.kind == "COUNT" else kinds[i]) for i, c in enumerate(calls.values())]
+    out = f"{_changelog(df, keys)}, {_fields(*results)}"
+    found = rows.groupBy(*keys).transformWithState(GroupAggregate(keys, list(calls.values()), kinds, ttl), out, "Update", "None" if ttl is None else "ProcessingTime")
+    return found.withColumnsRenamed({f"c{i}": name for i, name in enumerate(calls)})
+
+
 def _tagged(left: DataFrame, right: DataFrame, key: str, ts: str | None = None) -> tuple[DataFrame, str, str]:
     """Both sides in one relation (key, side, l, r[, t]), so that one processor sees a key's rows of both."""
     lk, rk = (T.StructType(list(x.schema)).simpleString() for x in (left, right))
