@@ -141,19 +141,24 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def linked(buckets: DataFrame, near: Callable[[DataFrame], DataFrame], by: str = "node", about: DataFrame | None = None, may: Callable[[str, str], Column] | None = None) -> DataFrame:
+def linked(buckets: DataFrame, near: Callable[[DataFrame], DataFrame], by: str = "node", about: DataFrame | None = None, may: Callable[[str, str], Column] | None = None, known: DataFrame | None = None) -> DataFrame:
     """Components of nodes that share a bucket and are near: rows (node, root), for nodes with a link.
 
     buckets: rows (key, node, ...); near keeps the near pairs of rows (a, b). In each bucket a node is first compared with
     the first one in the order `by` and with the one before it, which is linear and joins dense groups if what comes first
     is near many; then only buckets that still hold several components are joined with themselves, and only nodes of
     different components meet. There `may` can rule out pairs, so that they make no rows, by what `about` tells of each node
-    (in columns that end in _a and _b). No link is lost.
+    (in columns that end in _a and _b). What `known` joins already, rows (node, root), isn't compared. No link is lost.
     """
     order = f"over (partition by key order by {by}, node)"
     held = cut(buckets.selectExpr("key", "node", f"first(node) {order} as low", f"lag(node) {order} as before", f"lead(node) {order} as after").where("before is not null or after is not null"))
     first = held.select("node", F.explode(F.array_distinct(F.array_compact(F.array("low", "before")))).alias("other")).where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    named = components(near(first))
+    if known is None:
+        named = components(near(first))
+    else:
+        root = lambda x: known.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+        apart = first.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+        named = components(near(apart.select("a", "b")).unionByName(known.toDF("a", "b")))
     parts = held.select("key", "node").join(named, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
     mixed = parts.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
     rest = cut(parts.join(mixed, "key", "left_semi"))

@@ -12,7 +12,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import chunks, components, cut, fresh, row_hash, salted
@@ -44,15 +44,19 @@ def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
     return np.array([digest(flat[a:b], SEED) for a, b in zip(starts, ends, strict=False)], dtype="<u8")
 
 
-def fingerprint(text: bytes | None, words: int = 4) -> int:
-    """The SimHash of a text: a bit is 1 if set in over half the hashes of its word shingles, repeats included; 0 if none."""
-    hashes = shingle_hashes(text, words)
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of hashes: a bit is 1 if set in over half of them; 0 if there are none."""
     votes = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), BLOCK):
         votes += np.unpackbits(hashes[i : i + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, words: int = 4) -> int:
+    """The SimHash of a text's word shingles, repeats included."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """Rows (doc_id, text_key, fp): one for every row of docs; fp is the fingerprint as a signed 64-bit number."""
 
@@ -98,6 +102,44 @@ def variants(fps: DataFrame, radius: int, blocks: int = 1) -> DataFrame:
     return index.select(*fps.columns, F.xxhash64(F.expr(opened), F.col("block"), F.expr("fp & part")).alias("key"))
 
 
+def near(a: str, b: str, bits: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
+
+
+def neighbours(index: DataFrame, bits: int) -> DataFrame:
+    """Rows (fp, key, large, links): links are those within `bits` of the PEERS before fp in its bucket and the bucket's smallest.
+
+    index: rows (fp, key) of distinct fingerprints. large: the bucket has more than PEERS + 1. Rows that are neither linked
+    nor in a large bucket are left out.
+    """
+    others = ["low", *(f"before{k}" for k in range(1, PEERS + 1))]
+    marked = index.selectExpr(
+        "fp", "key", "first(fp) over (partition by key order by fp) as low",
+        *(f"lag(fp, {k}) over (partition by key order by fp) as before{k}" for k in range(1, PEERS + 1)),
+        f"count(*) over (partition by key order by fp rows between unbounded preceding and unbounded following) > {PEERS + 1} as large",
+    )
+    linked = [(F.col("fp") != F.col(o)) & near("fp", o, bits) for o in others]
+    some = F.coalesce(linked[0], F.lit(False))
+    for x in linked[1:]:
+        some = some | F.coalesce(x, F.lit(False))
+    return marked.where(some | F.col("large")).select("fp", "key", "large", F.array_distinct(F.array_compact(F.array(*(F.when(x, F.col(o)) for x, o in zip(linked, others, strict=True))))).alias("links"))
+
+
+def candidates(fps: DataFrame, radius: int, bits: int) -> DataFrame:
+    """Pairs (a, b) of nodes, a < b, whose fingerprints are equal or meet under a segment and are within `bits`.
+
+    fps: rows (node, fp) with node distinct. radius sets the segments, bits may be more. Of nodes with one fingerprint the
+    smallest stands for all and is paired with each. Linear: in a bucket only neighbours are compared, so that pairs of
+    large buckets can be missing, as can pairs without a common segment; a caller who owes them looks for them elsewhere.
+    """
+    least = cut(fps.groupBy("fp").agg(F.min("node").alias("a"), F.count("*").alias("n")))
+    equal = salted(fps, least.where("n > 1").drop("n"), ["fp"]).where("a <> node").select("a", F.col("node").alias("b"))
+    least = least.drop("n")
+    met = neighbours(variants(least.select("fp"), radius), bits).select("fp", F.explode("links").alias("fp2")).distinct()
+    met = met.join(least, "fp").join(least.toDF("fp2", "b"), "fp2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return met.unionByName(equal)
+
+
 def classes(fps: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFrame:
     """Connected components of distinct fingerprints linked at `radius` or fewer differing bits: (fp, part, component_id).
 
@@ -109,26 +151,15 @@ def classes(fps: DataFrame, radius: int = 4, blocks: int | None = None) -> DataF
     """
     if blocks is None:
         blocks = 1 if fps.count() <= FINE else radius + 1
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
     index = variants(fps.select("fp"), radius, blocks)
-    others = ["low", *(f"before{k}" for k in range(1, PEERS + 1))]
-    marked = index.selectExpr(
-        "fp", "key", "first(fp) over (partition by key order by fp) as low",
-        *(f"lag(fp, {k}) over (partition by key order by fp) as before{k}" for k in range(1, PEERS + 1)),
-        f"count(*) over (partition by key order by fp rows between unbounded preceding and unbounded following) > {PEERS + 1} as large",
-    )
-    linked = [(F.col("fp") != F.col(o)) & near("fp", o) for o in others]
-    some = F.coalesce(linked[0], F.lit(False))
-    for x in linked[1:]:
-        some = some | F.coalesce(x, F.lit(False))
-    kept = cut(marked.where(some | F.col("large")).select("fp", "key", "large", F.array_distinct(F.array_compact(F.array(*(F.when(x, F.col(o)) for x, o in zip(linked, others, strict=True))))).alias("links")))
+    kept = cut(neighbours(index, radius))
     named = components(kept.select(F.col("fp").alias("a"), F.explode("links").alias("b")))
     shared = kept.where("large").select("fp", "key")
     buckets = shared.join(named.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("part"))
     mixed = buckets.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
     rest = cut(buckets.join(mixed, "key", "left_semi"))
     left, right = rest.toDF("key", "fp", "part"), rest.toDF("key", "fp2", "part2")
-    pairs = left.join(right, "key").where("part < part2").where(near("fp", "fp2")).select(F.col("part").alias("a"), F.col("part2").alias("b"))
+    pairs = left.join(right, "key").where("part < part2").where(near("fp", "fp2", radius)).select(F.col("part").alias("a"), F.col("part2").alias("b"))
     joined = components(pairs)
     whole = fps.join(named.withColumnRenamed("node", "fp"), "fp", "left").withColumn("part", F.coalesce("root", "fp")).drop("root")
     whole = whole.join(joined.withColumnRenamed("node", "part"), "part", "left").select("fp", "doc_id", F.coalesce("root", "part").alias("part"))
