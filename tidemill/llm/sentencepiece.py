@@ -13,7 +13,6 @@ import hashlib
 import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -310,13 +309,13 @@ class Codec:
 
     def __init__(self, model: Model):
         self.model = model
-        self.memory: dict[str, tuple[int, ...]] = {}
+        self.memory: dict[str, bytes] = {}  # ids as 32-bit numbers
         self.surface = []
         for piece, kind in zip(model.pieces, model.kinds, strict=True):
             self.surface.append(b"" if kind == CONTROL else bytes([int(piece[3:5], 16)]) if kind == BYTE else " ⁇ ".encode() if kind == UNKNOWN else piece.replace(SPACE, " ").encode())
 
-    def _spelt(self, word: str, ids: list[int], starts: list[int]) -> tuple[int, ...]:
-        """The ids with unknown characters as bytes, or as the unknown piece if the model has no bytes."""
+    def _spelt(self, word: str, ids: list[int], starts: list[int]) -> bytes:
+        """The ids as remembered, with unknown characters as bytes, or as the unknown piece if the model has no bytes."""
         out: list[int] = []
         for k, a in zip(ids, starts, strict=True):
             if k >= 0:
@@ -325,7 +324,7 @@ class Codec:
                 out.extend(self.model.byte_ids[x] for x in word[a].encode("utf-8", "replace"))
             else:
                 out.append(self.model.unknown)
-        return tuple(out)
+        return np.array(out, np.int32).tobytes()
 
     def learn(self, words: Iterable[str]) -> None:
         """Encodes the words that aren't remembered, those of one length together, long ones with others of about theirs."""
@@ -356,25 +355,30 @@ class Codec:
             codes, sizes = np.full((len(words), n), PAD), np.array([len(w) for w in words])
             for k, w in enumerate(words):
                 codes[k, : len(w)] = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), "<u4")
-        pieces, starts, counts = (x.tolist() for x in viterbi(self.model, codes, sizes))
-        at = 0
-        for w, count in zip(words, counts, strict=True):
-            ids = pieces[at : at + count]
-            self.memory[w] = tuple(ids) if min(ids) >= 0 else self._spelt(w, ids, starts[at : at + count])
-            at += count
+        pieces, starts, counts = viterbi(self.model, codes, sizes)
+        ends = np.cumsum(counts)
+        known = (np.minimum.reduceat(pieces, ends - counts) >= 0).tolist()
+        raw, at = pieces.astype(np.int32).tobytes(), 0
+        for w, end, all_known in zip(words, ends.tolist(), known, strict=True):
+            self.memory[w] = raw[4 * at : 4 * end] if all_known else self._spelt(w, pieces[at:end].tolist(), starts[at:end].tolist())
+            at = end
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The piece ids of each text."""
-        split = []
-        for text in texts:
-            flat = ((" " if self.model.dummy_prefix else "") + text).replace(" ", SPACE) if text else ""
-            split.append(_units(flat))
+        """The piece ids of each text.
+
+        Texts are split twice, so that the words of one text at a time and the new ones of all are held.
+        """
+        split = lambda text: _units(((" " if self.model.dummy_prefix else "") + text).replace(" ", SPACE)) if text else []
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
-        self.learn(set(chain.from_iterable(split)))
+        new: set[str] = set()
+        for text in texts:
+            new |= set(split(text)).difference(self.memory)
+        self.learn(new)
+        del new
         out = []
-        for words in split:
-            ids = np.fromiter(chain.from_iterable(map(self.memory.__getitem__, words)), np.int32)
+        for text in texts:
+            ids = np.frombuffer(b"".join(map(self.memory.__getitem__, split(text))), np.int32)
             if not self.model.byte_ids:  # neighbouring unknown characters are one piece
                 same = (ids[1:] == self.model.unknown) & (ids[:-1] == self.model.unknown)
                 ids = ids[np.concatenate(([True], ~same))] if len(ids) else ids
@@ -402,8 +406,8 @@ def _units(flat: str) -> list[str]:
     return [*out, spaces] if spaces else out
 
 
-def encoded(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, with_ids: bool = True) -> DataFrame:
-    """docs with columns more: n_pieces, ids (if asked for), ids_sha256, decoded_sha256 and round_trip.
+def encoded(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, with_ids: bool = True, with_text: bool = True) -> DataFrame:
+    """docs with columns more: n_pieces, ids (if asked for), ids_sha256, decoded_sha256 and round_trip; the text if asked for.
 
     ids are the piece ids of the whole text; a null or empty text has none. ids_sha256 is of the ids as little-endian
     32-bit numbers, decoded_sha256 of the text that they decode to, round_trip whether that is the text. A column of docs
@@ -428,13 +432,14 @@ def encoded(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, wi
             if with_ids:
                 offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids])))
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids))))
-            yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *names])
+            kept = [k for k, n in enumerate(part.schema.names) if with_text or n != text_col]
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *columns], [*(part.schema.names[k] for k in kept), *names])
 
     added = [T.StructField("n_pieces", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())]
     if with_ids:
         added.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
     names = [f.name for f in added]
-    return docs.mapInArrow(scan, T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), *added]))
+    return docs.mapInArrow(scan, T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema if with_text or f.name != text_col), *added]))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL) -> DataFrame:
@@ -443,4 +448,4 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     As in encoded(): null and empty texts have no piece, texts may be of any length, an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return encoded(rows, "text", model_path, with_ids=False).drop("text")
+    return encoded(rows, "text", model_path, with_ids=False, with_text=False)
