@@ -1,13 +1,17 @@
 """The encoder's memory doesn't grow with the words of a batch of texts, and workers don't send texts back unasked."""
 
 import random
+import resource
 import sys
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tidemill.llm import language
 from tidemill.llm import sentencepiece as ours
+from tidemill.llm.common import give_back
 
 with open(ours.MODEL, "rb") as f:
     MODEL = ours.Model.parse(f.read())
@@ -46,3 +50,29 @@ def test_the_text_stays_out_if_not_asked_for(spark, with_ids):
     assert less.columns == [c for c in whole.columns if c != "text"]
     key = lambda r: str(r)
     assert sorted(less.collect(), key=key) == sorted(whole.drop("text").collect(), key=key)
+
+
+def test_free_memory_of_a_worker_goes_back():
+    def resident() -> int:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * resource.getpagesize()
+
+    held = [np.ones(1 << 13) for _ in range(2000)] + [pa.array(np.ones(1 << 20)).cast(pa.float32()) for _ in range(8)]
+    last = np.ones(1 << 13)  # on top of the rest, which stays with the process when freed
+    full = resident()
+    del held
+    give_back()
+    assert full - resident() > 100 << 20 and last.sum() == 1 << 13
+
+
+def test_limits_of_languages_need_no_python_worker(spark, monkeypatch):
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df
+
+    monkeypatch.setattr(language.F, "broadcast", seen)
+    docs = spark.createDataFrame([(k, f"some text {k}", "en" if k % 2 else "de") for k in range(40)], "doc_id long, text string, lang string")
+    assert {lang for _, lang in language.sample(docs)} == {"en", "de"}
+    assert plans and all("LocalRelation" in p and "RDD" not in p for p in plans)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -119,6 +120,14 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tu
             yield part, as_bytes(part.column(part.schema.get_field_index(text)))
 
 
+def give_back() -> None:
+    """Returns memory that is free to the system, as workers are reused and else hold on to it beside later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # the C library has it on Linux
+        trim(0)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph given as rows (a, b): rows (node, root), root the smallest node.
 

@@ -176,7 +176,8 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     each = parameters.each(len(counts))
     # Half as many more rows as wanted are to be expected below the hash, so that no task sorts a language.
     below = {lang: min((1 << 64) - 1, 3 * (each + 20) * (1 << 63) // n) - (1 << 63) for lang, n in counts.items()}
-    limits = docs.sparkSession.createDataFrame(list(below.items()), "lang string, below bigint")
+    # As an Arrow table, which needs no Python workers of its own.
+    limits = docs.sparkSession.createDataFrame(pa.table([pa.array(list(below), pa.string()), pa.array(list(below.values()), pa.int64())], ["lang", "below"]))
     near = labelled.join(F.broadcast(limits), "lang").where("draw <= below").drop("below")
     by_language: dict[str, list[tuple[int, str]]] = {}
     for r in near.toLocalIterator():

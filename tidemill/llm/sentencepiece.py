@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import chunks
+from tidemill.llm.common import chunks, give_back
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The format's mark for a space; model types; piece types.
@@ -420,6 +420,10 @@ def encoded(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, wi
         shared = spark.sparkContext.broadcast(Model.parse(f.read()))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from parts(batches)
+        give_back()
+
+    def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
         for part, raws in chunks(batches, text_col):
             texts = [(t or b"").decode("utf-8", "replace") for t in raws]
